@@ -39,12 +39,16 @@ from pyspark.sql.window import Window
 
 from .common import stage, utf8
 
-SKETCH_BITS = 20
+SKETCH_BITS = 24
 SKETCH_PARTS = 64
+#: A sketch counter stops here, so the sketch is 16 MB at any size of the data.
+MOST = 255
 BITMAP_WORDS = 16
 LEAF = 16
 FANOUT = 4
 BUNDLE_ROWS = 20_000
+#: Shingles of a bundle that one task may hold.
+BUNDLE_SHINGLES = 8_000_000
 BLOCK_ROWS = 4_000
 
 SPACE_BYTES = np.zeros(256, dtype=bool)
@@ -140,38 +144,39 @@ def measure(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
 
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         names = ["id", "a", "b", "n", "part", "counts"]
-        counts = np.zeros(width, dtype=np.int64)
+        counts = np.zeros(width, dtype=np.uint16)
         for batch in batches:
-            out, seen = [], [np.empty(0, np.uint64)]
+            out = []
             for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 s = shingles(text, k)
-                seen.append(s & np.uint64(width - 1))
+                # A set's shingles are distinct, so an indexed increment counts each; clashes within a set count once.
+                at = (s & np.uint64(width - 1)).astype(np.int64)
+                counts[at] += counts[at] < MOST
                 out.append((doc_id, *set_digest(s), len(s)))
-            counts += np.bincount(np.concatenate(seen).astype(np.int64), minlength=width)
             columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
             arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=False)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.binary())], names=names)
         if counts.any():
             cut = width // SKETCH_PARTS
             for p in range(SKETCH_PARTS):
-                packed = zlib.compress(counts[p * cut : (p + 1) * cut].tobytes(), 1)
+                packed = zlib.compress(np.minimum(counts[p * cut : (p + 1) * cut], MOST).astype(np.uint8).tobytes(), 1)
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in kinds[:4]), pa.array([p], pa.int32()), pa.array([packed], pa.binary())], names=names)
 
     def add(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(width // SKETCH_PARTS, dtype=np.int64)
         for c in pdf["counts"]:
-            total += np.frombuffer(zlib.decompress(c), dtype=np.int64)
-        return pd.DataFrame({"part": [key[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+            total += np.frombuffer(zlib.decompress(c), dtype=np.uint8)
+        return pd.DataFrame({"part": [key[0]], "counts": [zlib.compress(np.minimum(total, MOST).astype(np.uint8).tobytes(), 1)]})
 
     both = docs.select(F.col("doc_id").cast("long").alias("id"), utf8().alias("text")).mapInArrow(run, "id long, a long, b long, n long, part int, counts binary")
     both = stage(both, "jaccard-sets")
     rows = both.where("part IS NULL").select("id", "a", "b", "n")
     # A fixed number of parts of a fixed size: the sketch does not grow with the data.
     sums = both.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
-    sketch = np.zeros(width, dtype=np.int64)
+    sketch = np.zeros(width, dtype=np.uint8)
     cut = width // SKETCH_PARTS
     for r in sums:
-        sketch[r["part"] * cut : (r["part"] + 1) * cut] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.int64)
+        sketch[r["part"] * cut : (r["part"] + 1) * cut] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint8)
     return rows, sketch
 
 
@@ -180,7 +185,7 @@ def measure(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
 
 def prefixes(docs: DataFrame, k: int, t: Fraction, sketch: np.ndarray) -> DataFrame:
     """token, cls: the rarest shingles of each set that could hold a link to another set; cls is half of its digest."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.uint32))
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
     least = next(n for n in range(1, 10**6) if ceil(t * n) < n)  # smaller sets link only with equal ones
 
     def run(batches):
@@ -398,7 +403,7 @@ def large_bundle_links(members: DataFrame, t: Fraction, block_rows: int = BLOCK_
     return grouped.join(grouped.groupBy("group").agg(F.min("cid").alias("root")), "group").select("a", "b", "root")
 
 
-def join_classes(docs: DataFrame, k: int, t: Fraction, bundle_rows: int = BUNDLE_ROWS) -> tuple[DataFrame, DataFrame]:
+def join_classes(docs: DataFrame, k: int, t: Fraction, bundle_rows: int = BUNDLE_ROWS, bundle_shingles: int = BUNDLE_SHINGLES) -> tuple[DataFrame, DataFrame]:
     """rows (id, a, b, n) of docs, and links (a, b, root) of the classes linked with one of a smaller id."""
     rows, sketch = measure(docs, k)
     tokens = prefixes(docs, k, t, sketch).distinct()
@@ -406,10 +411,10 @@ def join_classes(docs: DataFrame, k: int, t: Fraction, bundle_rows: int = BUNDLE
     edges = tokens.withColumn("b", first).where("cls <> b").select(F.col("cls").alias("a"), "b")
     bundles = components(edges, "jaccard-bundles")
     # Classes in bundles, each with the row it is read from; halves of digests that clash only share a bundle.
-    named = rows.where("n > 0 AND id IS NOT NULL").groupBy("a", "b").agg(F.min("id").alias("cid"))
+    named = rows.where("n > 0 AND id IS NOT NULL").groupBy("a", "b").agg(F.min("id").alias("cid"), F.max("n").alias("n"))
     held = stage(named.join(bundles.select("a", F.col("root").alias("bundle")), "a"), "jaccard-held")
-    sizes = held.groupBy("bundle").agg(F.count("*").alias("members"))
-    large = stage(sizes.where(F.col("members") > bundle_rows).select("bundle"), "jaccard-large-bundles")
+    sizes = held.groupBy("bundle").agg(F.count("*").alias("members"), F.sum("n").alias("n"))
+    large = stage(sizes.where((F.col("members") > bundle_rows) | (F.col("n") > bundle_shingles)).select("bundle"), "jaccard-large-bundles")
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
