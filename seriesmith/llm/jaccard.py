@@ -2,16 +2,24 @@
 
 1. Every text becomes its set of word shingles, as 64-bit hashes. Equal sets form a class,
    which takes part once. Shingle frequencies are summed in a sketch of fixed size.
-2. Sets are ordered by (frequency, hash). Two sets that reach the threshold share one of
-   their first ``n - ceil(t * n) + 1`` shingles, so classes that share none of those can't be
-   linked. Classes that share one are joined into bundles: the connected components of
-   these candidate links. The order by frequency keeps common passages out of the prefixes.
+2. Candidates. Sets are cut into R ranges by hash, R growing with the size. Linked sets
+   differ in few shingles, so in some range by no more than an R-th of those, and share one
+   of that range's first ones in the order (frequency, hash). Rows (shingle, class) of these
+   are grouped by shingle. A group is joined by a signature tree over bitmaps of the range,
+   so sets that share a passage but are not alike are told apart there; the order by
+   frequency keeps common passages out. Pairs that may still be linked join their classes
+   into bundles: connected components.
 3. In a bundle a signature tree is built: nodes hold the OR of their sets' token bitmaps,
    the AND of them, and the range of set sizes. A dual traversal starts with (root, root)
    and drops node pairs whose largest possible overlap is under what the smallest sizes
    need, and pairs whose sets are all linked with each other already. Pairs of sets that
    remain are compared exactly.
 
+The sketch, and a filter of the shingles that several classes hold, are of fixed size and
+only save work; no result depends on what they forget. A range of hundreds of hashes that
+holds under a quarter of its mean would escape step 2, which is far less likely than a
+clash of 64-bit hashes.
+
 Bundles of more than ``BUNDLE_ROWS`` classes are cut into blocks by size; pairs of blocks
 whose sizes can match are joined in tasks of their own, so no task holds more than two
 blocks.
@@ -26,13 +34,14 @@ result.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from math import ceil
 from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,6 +53,13 @@ SKETCH_PARTS = 64
 #: A sketch counter stops here, so the sketch is 16 MB at any size of the data.
 MOST = 255
 BITMAP_WORDS = 16
+#: Bits of the filter of shared shingles (16 MB).
+FILTER_BITS = 27
+#: Shingles a range holds at least, in the mean, and the 64-bit words of its bitmap.
+RANGE = 256
+RANGE_WORDS = 8
+#: Groups of one shingle up to which all its rows are compared in place; larger ones go through a tree.
+GROUP_ROWS = 64
 LEAF = 16
 FANOUT = 4
 BUNDLE_ROWS = 20_000
@@ -128,10 +144,6 @@ def set_digest(s: np.ndarray) -> tuple[int, int]:
     return signed(a), signed(b)
 
 
-def prefix_length(n: int, t: Fraction) -> int:
-    return n - ceil(t * n) + 1
-
-
 # --- sketch of shingle frequencies ---------------------------------------------------
 
 
@@ -183,29 +195,164 @@ def measure(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
 # --- candidate bundles ---------------------------------------------------------------
 
 
-def prefixes(docs: DataFrame, k: int, t: Fraction, sketch: np.ndarray) -> DataFrame:
-    """token, cls: the rarest shingles of each set that could hold a link to another set; cls is half of its digest."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    least = next(n for n in range(1, 10**6) if ceil(t * n) < n)  # smaller sets link only with equal ones
+def levels_of(n: int, t: Fraction) -> list[int]:
+    """Logarithms of the numbers of ranges that a set of n shingles is cut into: its own, and that of larger sets it may be linked with."""
+    own, up = (max(0, (m // RANGE).bit_length() - 1) for m in (n, int(n / t)))
+    return list(range(own, up + 1))
+
+
+class Prefixes:
+    """The rows (token, cls, n, slack, bitmap) of one set."""
+
+    def __init__(self, k: int, t: Fraction, counts: np.ndarray):
+        self.k, self.t, self.counts = k, t, counts
+        self.mask = np.uint64(len(counts) - 1)
+        self.least = next(n for n in range(1, 10**6) if ceil(t * n) < n)  # smaller sets link only with equal ones
+        self.seen: set[tuple[int, int]] = set()
+
+    def rows(self, text: bytes | None, passes: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, int, int, float, np.ndarray | None]]:
+        """(tokens, cls, n, slack, bitmap) for each range; passes: which tokens are wanted, with bitmaps then."""
+        s = shingles(text, self.k)
+        if len(s) < self.least:
+            return
+        digest = set_digest(s)
+        if digest in self.seen:  # a copy within this task
+            return
+        if len(self.seen) > 100_000:
+            self.seen.clear()
+        self.seen.add(digest)
+        n, ratio = len(s), (1 - self.t) / (1 + self.t)
+        often = self.counts[(s & self.mask).astype(np.int64)]
+        s = s[np.lexsort((s, often))]
+        spread = mix(s ^ np.uint64(INVERSE))
+        for level in levels_of(n, self.t):
+            ranges = (spread >> np.uint64(64 - level)).astype(np.int64) if level else np.zeros(n, np.int64)
+            # A linked set has at most n / t elements, so at most this many of a range's are not in it, in some range.
+            most = int(n * (1 - self.t) / self.t / 2**level) + 1
+            slack = float(ratio * n / 2**level)
+            by = np.argsort(ranges, kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(ranges, minlength=2**level))])
+            for r in range(2**level):
+                mine = by[ends[r] : ends[r + 1]]
+                tokens = mix(s[mine[:most]] + np.uint64(level + 1))
+                if passes is not None:
+                    tokens = tokens[passes(tokens)]
+                if len(tokens):
+                    bits = None if passes is None else bitmaps([spread[mine]], 64 * RANGE_WORDS)[0]
+                    yield tokens.view(np.int64), digest[0], n, slack, bits
+
+
+def shared_filter(docs: DataFrame, k: int, t: Fraction, sketch: Broadcast) -> np.ndarray:
+    """A bit for each hash of tokens that more than one class holds, in a filter of fixed size."""
+    width = 1 << (FILTER_BITS - 3)
 
     def run(batches):
         import pyarrow as pa
 
-        counts = shared.value
-        mask = np.uint64(len(counts) - 1)
+        maker = Prefixes(k, t, sketch.value)
         for batch in batches:
-            tokens, classes = [], []
-            for text in batch.column("text").to_pylist():
-                s = shingles(text, k)
-                if len(s) >= least:
-                    m = prefix_length(len(s), t)
-                    often = counts[(s & mask).astype(np.int64)]
-                    tokens.append(s[np.lexsort((s, often))[:m]].view(np.int64))
-                    classes.append(np.full(m, set_digest(s)[0]))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(classes))], names=["token", "cls"])
+            got = [r for text in batch.column("text").to_pylist() for r in maker.rows(text)]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[0] for r in got])), pa.array(np.repeat([r[1] for r in got], [len(r[0]) for r in got]))], names=["token", "cls"])
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(width, dtype=np.uint8)
+        for b in batches:
+            at = b["token"].to_numpy(np.int64).view(np.uint64) & np.uint64(8 * width - 1)
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        if bits.any():
+            cut = width // SKETCH_PARTS
+            yield pd.DataFrame({"part": range(SKETCH_PARTS), "bits": [zlib.compress(bits[p * cut : (p + 1) * cut].tobytes(), 1) for p in range(SKETCH_PARTS)]})
+
+    def either(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(width // SKETCH_PARTS, dtype=np.uint8)
+        for x in pdf["bits"]:
+            total |= np.frombuffer(zlib.decompress(x), dtype=np.uint8)
+        return pd.DataFrame({"part": [key[0]], "bits": [zlib.compress(total.tobytes(), 1)]})
+
+    tokens = docs.select(utf8().alias("text")).mapInArrow(run, "token long, cls long")
+    held = tokens.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
+    parts = held.mapInPandas(fill, "part int, bits binary").groupBy("part").applyInPandas(either, "part int, bits binary").collect()
+    out = np.zeros(width, dtype=np.uint8)
+    cut = width // SKETCH_PARTS
+    for r in parts:
+        out[r["part"] * cut : (r["part"] + 1) * cut] = np.frombuffer(zlib.decompress(r["bits"]), dtype=np.uint8)
+    return out
 
-    return docs.select(utf8().alias("text")).mapInArrow(run, "token long, cls long")
+
+def group_edges(token: np.ndarray, cls: np.ndarray, n: np.ndarray, slack: np.ndarray, words: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Classes that may be linked, from rows in the order of tokens: enough pairs to join what is connected."""
+    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [len(token)]]))
+    found: list[np.ndarray] = []
+    small = np.repeat(sizes <= GROUP_ROWS, sizes)
+    for lag in range(1, min(GROUP_ROWS, int(sizes.max(initial=1)))):
+        i = np.flatnonzero(small[:-lag] & (token[lag:] == token[:-lag]))
+        if not len(i):
+            break
+        j = i + lag
+        lost = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64)
+        ok = (lost <= slack[i] + slack[j] + 1e-6) & (np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]) - 1e-9) & (cls[i] != cls[j])
+        found.append(np.stack([cls[i[ok]], cls[j[ok]]], axis=1))
+    for start, size in zip(starts[sizes > GROUP_ROWS], sizes[sizes > GROUP_ROWS], strict=True):
+        rows = slice(start, start + size)
+        own, first = np.unique(cls[rows], return_index=True)
+        at = first + start
+        order = np.lexsort((n[at], words[at, 0]))
+        tree = SignatureTree(words[at][order], n[at][order], t, slack[at][order])
+        union = Union(len(own))
+        traverse(tree, order, union, lambda x, y: True)
+        found.append(np.stack([own, own[union.labels()]], axis=1))
+    pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+    pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def candidate_edges(docs: DataFrame, k: int, t: Fraction, sketch: Broadcast, wanted: np.ndarray) -> DataFrame:
+    """a, b: classes that may be linked; their components hold every link."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    approx = float(t)
+
+    def passes(tokens: np.ndarray) -> np.ndarray:
+        bits = shared.value
+        at = tokens & np.uint64(8 * len(bits) - 1)
+        return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    def rich(batches):
+        import pyarrow as pa
+
+        maker = Prefixes(k, t, sketch.value)
+        for batch in batches:
+            got = [r for text in batch.column("text").to_pylist() for r in maker.rows(text, passes)]
+            if got:
+                times = [len(r[0]) for r in got]
+                each = lambda x, kind: pa.array(np.repeat(np.array(x), times), kind)  # noqa: E731, B023
+                words = [w for r, m in zip(got, times, strict=True) for w in [r[4].tobytes()] * m]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([r[0] for r in got])), each([r[1] for r in got], pa.int64()), each([r[2] for r in got], pa.int32()), each([r[3] for r in got], pa.float64()), pa.array(words, pa.binary())],
+                    names=["token", "cls", "n", "slack", "words"],
+                )
+
+    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+
+        def told(rows: pd.DataFrame) -> pd.DataFrame:
+            words = np.frombuffer(b"".join(rows["words"]), dtype=np.uint64).reshape(-1, RANGE_WORDS)
+            a, b = group_edges(*(rows[c].to_numpy() for c in ("token", "cls", "n", "slack")), words, approx)
+            return pd.DataFrame({"a": a, "b": b})
+
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            tokens = rows["token"].to_numpy()
+            cut = int(np.searchsorted(tokens, tokens[-1])) if len(tokens) else 0  # the last token may go on
+            rest = rows.iloc[cut:]
+            if cut:
+                yield told(rows.iloc[:cut])
+        if rest is not None and len(rest):
+            yield told(rest)
+
+    rows = docs.select(utf8().alias("text")).mapInArrow(rich, "token long, cls long, n int, slack double, words binary")
+    return rows.repartition("token").sortWithinPartitions("token").mapInPandas(edges, "a long, b long")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -256,18 +403,25 @@ class Union:
             up[:] = again
 
 
+def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    out = np.zeros((len(sets), bits), dtype=bool)
+    for i, s in enumerate(sets):
+        out[i, (s % np.uint64(bits)).astype(np.int64)] = True
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
 class SignatureTree:
-    """Levels of nodes over sets in an order that puts like ones together; level 0 are the sets."""
-
-    def __init__(self, sets: list[np.ndarray], bits: int = 64 * BITMAP_WORDS):
-        n = len(sets)
-        self.sets = sets
-        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        bitmap = np.zeros((n, bits), dtype=bool)
-        for i, s in enumerate(sets):
-            bitmap[i, (s % np.uint64(bits)).astype(np.int64)] = True
-        words = np.packbits(bitmap, axis=1).view(np.uint64)
-        self.either, self.all, self.low, self.high = [words], [words], [self.sizes], [self.sizes]
+    """Levels of nodes over sets in an order that puts like ones together; level 0 are the sets.
+
+    own: how many elements of a set its bitmap stands for; slack: half of the difference it
+    may have with a linked set like itself (None: derived from t and the sizes, which then
+    are of the whole sets).
+    """
+
+    def __init__(self, words: np.ndarray, sizes: np.ndarray, t: float, slack: np.ndarray | None = None):
+        self.t, self.whole = t, slack is None
+        slack = np.zeros(len(sizes)) if slack is None else slack
+        self.either, self.all, self.low, self.high, self.slack = [words], [words], [sizes], [sizes], [slack]
         width = LEAF
         while len(self.low[-1]) > 1:
             starts = np.arange(0, len(self.low[-1]), width)
@@ -275,6 +429,7 @@ class SignatureTree:
             self.all.append(np.bitwise_and.reduceat(self.all[-1], starts))
             self.low.append(np.minimum.reduceat(self.low[-1], starts))
             self.high.append(np.maximum.reduceat(self.high[-1], starts))
+            self.slack.append(np.maximum.reduceat(self.slack[-1], starts))
             width = FANOUT
 
     def fanout(self, level: int) -> int:
@@ -283,16 +438,17 @@ class SignatureTree:
     def children(self, level: int, node: np.ndarray) -> np.ndarray:
         return node[:, None] * self.fanout(level) + np.arange(self.fanout(level))
 
-
-def possible(tree: SignatureTree, level: int, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
-    """Whether the largest possible overlap of a node pair reaches what its smallest sizes need."""
-    lost_i = np.bitwise_count(tree.all[level][i] & ~tree.either[level][j]).sum(axis=1, dtype=np.int64)
-    lost_j = np.bitwise_count(tree.all[level][j] & ~tree.either[level][i]).sum(axis=1, dtype=np.int64)
-    low, high = tree.low[level], tree.high[level]
-    most = np.minimum(high[i] - lost_i, high[j] - lost_j)
-    # The overlap is t times the union or more, and the union holds the larger set and what the other lost.
-    need = np.maximum(low[i] + lost_j, low[j] + lost_i)
-    return most >= np.ceil(t * need - 1e-9)
+    def possible(self, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether sets under a node pair can be linked, by sizes and by tokens that one side's sets all have and the other's lack."""
+        low, high = self.low[level], self.high[level]
+        fits = np.minimum(high[i], high[j]) >= self.t * np.maximum(low[i], low[j]) - 1e-9
+        lost_i = np.bitwise_count(self.all[level][i] & ~self.either[level][j]).sum(axis=1, dtype=np.int64)
+        lost_j = np.bitwise_count(self.all[level][j] & ~self.either[level][i]).sum(axis=1, dtype=np.int64)
+        if not self.whole:
+            return fits & (lost_i + lost_j <= self.slack[level][i] + self.slack[level][j] + 1e-6)
+        most = np.minimum(high[i] - lost_i, high[j] - lost_j)
+        # The overlap is t times the union or more, and the union holds one set and what the other has besides.
+        return fits & (most >= np.ceil(self.t * np.maximum(low[i] + lost_j, low[j] + lost_i) - 1e-9))
 
 
 def linked(x: np.ndarray, y: np.ndarray, t: Fraction) -> bool:
@@ -307,16 +463,9 @@ def order_sets(sets: list[np.ndarray]) -> np.ndarray:
     return np.lexsort((sizes, first, (np.log(np.maximum(sizes, 1)) * 4).astype(int)))
 
 
-def tree_join(sets: list[np.ndarray], t: Fraction, union: Union) -> None:
-    """Link in union the sets whose Jaccard similarity is t or more, so far as that joins components."""
-    if len(sets) < 2:
-        return
-    order = order_sets(sets)
-    tree = SignatureTree([sets[i] for i in order])
-    for x, y in zip(order, order[1:], strict=False):  # neighbours first: most links of a large group of copies are found here
-        if linked(sets[x], sets[y], t):
-            union.join(x, y)
-    approx, changed = float(t), 0
+def traverse(tree: SignatureTree, order: np.ndarray, union: Union, check: Callable[[int, int], bool]) -> None:
+    """Dual traversal: link in union the sets (order[i], order[j]) for which check holds, so far as that joins components."""
+    changed = 0
     stack = [(len(tree.low) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
 
     def uniform() -> list[np.ndarray]:
@@ -335,13 +484,13 @@ def tree_join(sets: list[np.ndarray], t: Fraction, union: Union) -> None:
             marks, changed = uniform(), 0
         keep = (marks[level][i] != marks[level][j]) | (marks[level][i] < 0)
         i, j = i[keep], j[keep]
-        keep = possible(tree, level, i, j, approx)
+        keep = tree.possible(level, i, j)
         i, j = i[keep], j[keep]
         if not len(i):
             continue
         if level == 0:
-            for x, y in zip(order[i], order[j], strict=True):
-                if union.find(x) != union.find(y) and linked(sets[x], sets[y], t):
+            for x, y in zip(order[i].tolist(), order[j].tolist(), strict=True):
+                if union.find(x) != union.find(y) and check(x, y):
                     union.join(x, y)
                     changed += 1
             continue
@@ -353,6 +502,18 @@ def tree_join(sets: list[np.ndarray], t: Fraction, union: Union) -> None:
             stack.append((level - 1, x[start : start + 8192], y[start : start + 8192]))
 
 
+def tree_join(sets: list[np.ndarray], t: Fraction, union: Union) -> None:
+    """Link in union the sets whose Jaccard similarity is t or more, so far as that joins components."""
+    if len(sets) < 2:
+        return
+    order = order_sets(sets)
+    tree = SignatureTree(bitmaps([sets[i] for i in order], 64 * BITMAP_WORDS), np.array([len(sets[i]) for i in order]), float(t))
+    for x, y in zip(order, order[1:], strict=False):  # neighbours first: most links of a large group of copies are found here
+        if linked(sets[x], sets[y], t):
+            union.join(x, y)
+    traverse(tree, order, union, lambda x, y: linked(sets[x], sets[y], t))
+
+
 # --- the join ------------------------------------------------------------------------
 
 
@@ -406,9 +567,8 @@ def large_bundle_links(members: DataFrame, t: Fraction, block_rows: int = BLOCK_
 def join_classes(docs: DataFrame, k: int, t: Fraction, bundle_rows: int = BUNDLE_ROWS, bundle_shingles: int = BUNDLE_SHINGLES) -> tuple[DataFrame, DataFrame]:
     """rows (id, a, b, n) of docs, and links (a, b, root) of the classes linked with one of a smaller id."""
     rows, sketch = measure(docs, k)
-    tokens = prefixes(docs, k, t, sketch).distinct()
-    first = F.min("cls").over(Window.partitionBy("token"))
-    edges = tokens.withColumn("b", first).where("cls <> b").select(F.col("cls").alias("a"), "b")
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    edges = candidate_edges(docs, k, t, shared, shared_filter(docs, k, t, shared))
     bundles = components(edges, "jaccard-bundles")
     # Classes in bundles, each with the row it is read from; halves of digests that clash only share a bundle.
     named = rows.where("n > 0 AND id IS NOT NULL").groupBy("a", "b").agg(F.min("id").alias("cid"), F.max("n").alias("n"))
