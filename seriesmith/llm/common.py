@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows up to which the right side of a join is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 500_000
 #: A null id sorts before every other id.
 NULL_ID = -(2**63)
 
@@ -47,3 +49,8 @@ def text_or_empty(name: str = "text") -> Column:
 def utf8(name: str = "text") -> Column:
     """The text's bytes; null counts as empty."""
     return F.encode(text_or_empty(name), "UTF-8")
+
+
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join with a written table of narrow rows: broadcast if its counted rows allow."""
+    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage, utf8
+from .common import joined, stage, utf8
 
 SKETCH_BITS = 24
 SKETCH_PARTS = 64
@@ -583,7 +583,7 @@ def join_classes(docs: DataFrame, k: int, t: Fraction, bundle_rows: int = BUNDLE
             yield batch[["bundle", "a", "b", "cid"]].assign(shingles=[x.tobytes() for x in s])[mine]
 
     texts = docs.select(F.col("doc_id").cast("long").alias("cid"), utf8().alias("text"))
-    members = texts.join(held, "cid").select("bundle", "a", "b", "cid", "text").mapInPandas(sets_of, f"bundle long, {MEMBER}")
+    members = joined(texts, held, ["cid"], "inner").select("bundle", "a", "b", "cid", "text").mapInPandas(sets_of, f"bundle long, {MEMBER}")
     if large.limit(1).count():
         members = stage(members, "jaccard-members")
         links = bundle_links(members.join(large, "bundle", "left_anti"), t).unionByName(large_bundle_links(members.join(large, "bundle", "left_semi"), t))
@@ -604,14 +604,15 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90, bundle_rows: int = B
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without rows of ids that are not the smallest of their component; of repeated rows of an id one stays."""
+    """docs without the ids that are not the smallest of their component; of repeated rows of an id one stays, of null ids all."""
     columns = docs.columns
-    kept = classes(docs, k, percent).where("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    joined = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
-    repeated = stage(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "jaccard-repeated")
+    whole = F.max(F.col("doc_id") == F.col("component_id"))
+    found = classes(docs, k, percent).where("doc_id IS NOT NULL").groupBy("doc_id").agg(whole.alias("first"), F.count("*").alias("n"))
+    found = stage(found.where("NOT first OR n > 1"), "jaccard-found")
+    kept = joined(docs, found.where("NOT first").select("doc_id"), ["doc_id"], "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+    repeated = found.where("first").select("doc_id")
     if repeated.limit(1).count():
-        again = joined.join(repeated, F.col("doc_id") == F.col("__id"), "left_semi")
         order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in columns])
-        first = again.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
-        joined = joined.join(repeated, F.col("doc_id") == F.col("__id"), "left_anti").unionByName(first)
-    return joined.unionByName(docs.where("doc_id IS NULL"))
+        again = kept.join(repeated, "doc_id", "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(again.drop("__n"))
+    return kept.select(*[F.col(f"`{c}`") for c in columns])

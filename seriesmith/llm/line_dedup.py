@@ -31,18 +31,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, stage
+from .common import NULL_ID, joined, stage
 
 PARTS = 3
 BLOCK = 256
 MIN_CHARS = 16
-#: Rows up to which the right side of a join is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
-
-
-def joined(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Join with a written table: broadcast if its counted rows allow."""
-    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
