@@ -18,6 +18,8 @@ which treats no match across them.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,69 +29,193 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch_path, stage, text_or_empty
+from .common import scratch_path, text_or_empty
+from .hashing import span_hashes
 
 DICTIONARY_BYTES = 64 * 1024
 SAMPLE_ROWS = 4_000
 SAMPLE_IDS = 2_000
 BLOCK_BYTES = 4 << 20
 LEVEL = 3
-MEMO_WORDS = 800_000
+MEMO_WORDS = 2_500_000
+PART_BYTES = 4 << 20
 #: A digit: the pre-tokenizer cuts digits off one by one, so no other text yields its token.
 MARK = "7"
 
 
+#: Lower-case Latin letters: composed, without case or number, so a normaliser of NFC and lower case keeps them.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: A pre-tokenizer of this pattern keeps a run of letters whole and cuts a comma or full stop after it off.
+LETTERS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
 class Encoder:
-    """Encodes texts word by word with a memo of words; the ids equal those of whole texts.
+    """Encodes texts word by word with a memo of words' hashes; the ids equal those of whole texts.
 
     Valid for tokenizers whose pre-tokenizer drops white space and matches nothing across
-    it, as checked by ``splits_at_space``.
+    it, as checked by ``splits_at_space``. For the usual lower-casing normaliser and letter
+    pattern, a plain word is known to pass both unchanged and goes to the model directly,
+    and a word's capitals and final comma or full stop are taken off before.
     """
 
     def __init__(self, tokenizer_json: bytes, end_id: int):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_buffer(tokenizer_json)
         self.end = np.array([end_id], dtype="<u4").tobytes()
-        self.memo: dict[str, bytes] = {"": b""}
+        self.memo = Memo()
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        config = json.loads(tokenizer_json)
+        steps = (config.get("normalizer") or {}).get("normalizers", [])
+        cuts = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        letters = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": LETTERS}
+        self.plain = None
+        if letters and self.mark is not None:
+            self.plain = Tokenizer.from_buffer(tokenizer_json)
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def ids_of(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def splits_at_space(self) -> bool:
         whole = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         return whole("a b\nc") == whole("a") + whole("b") + whole("c") and whole(" a \n") == whole("a")
 
-    def learn(self, words: list[str]) -> None:
-        """Encode unseen words. Words are joined by a mark that always is one token of its own, and cut apart there again."""
-        if len(self.memo) + len(words) > MEMO_WORDS:
-            self.memo.clear()
-            self.memo[""] = b""
-        memo, alone = self.memo, [w for w in words if MARK in w or len(w) > 1000]
-        for w in alone:
-            memo[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        joined = [w for w in words if w not in memo] if alone else words
-        if joined and self.mark is None:
-            for w, e in zip(joined, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, dtype="<u4").tobytes()
-        elif joined:
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(joined)], add_special_tokens=False)[0].ids, dtype="<u4")
-            raw, at = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark)).tolist()
-            for w, start, stop in zip(joined, [0, *(x + 4 for x in at)], [*at, len(raw)], strict=True):
-                memo[w] = raw[start:stop]
+    def joined(self, tokenizer, words: list[str]) -> list[np.ndarray]:
+        """Words are joined by a mark that always is one token of its own, and cut apart there again."""
+        if not words:
+            return []
+        ids = np.array(tokenizer.encode_batch_fast([f" {MARK} ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        at = np.flatnonzero(ids == self.mark).tolist()
+        return [ids[a:b] for a, b in zip([0, *(x + 1 for x in at)], [*at, len(ids)], strict=True)]
+
+    def ids_of_words(self, words: list[str]) -> list[np.ndarray]:
+        kinds = [0 if self.plain and PLAIN.fullmatch(w) and len(w) < 1000 else 1 if self.mark is not None and MARK not in w and len(w) < 1000 else 2 for w in words]
+        found = [iter(self.joined(self.plain, [w for w, k in zip(words, kinds, strict=True) if k == 0])), iter(self.joined(self.tokenizer, [w for w, k in zip(words, kinds, strict=True) if k == 1]))]
+        return [self.ids_of(w) if k == 2 else next(found[k]) for w, k in zip(words, kinds, strict=True)]
+
+    def cut(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of words: between spaces and line ends, a final comma or full stop after a letter by itself."""
+        space = (data == 32) | (data == 10)
+        edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        if self.plain is None:
+            return starts, ends
+        last, before = data[ends - 1], data[np.maximum(ends - 2, 0)]
+        stop = ((last == 44) | (last == 46)) & (ends - starts > 1) & (((before >= 97) & (before <= 122)) | ((before >= 65) & (before <= 90)))
+        times = 1 + stop
+        starts, ends = np.repeat(starts, times), np.repeat(ends, times)
+        second = np.cumsum(times)[stop] - 1
+        starts[second] = ends[second] - 1
+        ends[second - 1] -= 1
+        return starts, ends
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        part, size = [], 0
+        for t in texts:
+            part.append(t.encode("utf-8", "replace"))
+            size += len(part[-1])
+            if size >= PART_BYTES:
+                out += self.encode_part(part)
+                part, size = [], 0
+        return out + (self.encode_part(part) if part else [])
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        memo = self.memo
-        new = list(set(words).difference(memo))
-        if len(new) > MEMO_WORDS // 4:  # more new words in one text than the memo should take at once
-            return b"".join(self.encode(" ".join(words[i : i + 50_000]))[:-4] for i in range(0, len(words), 50_000)) + self.end
-        if new:
-            self.learn(new)
-        try:
-            return b"".join(map(memo.__getitem__, words)) + self.end
-        except KeyError:  # the memo was emptied meanwhile
-            self.learn(list(set(words).difference(memo)))
-            return b"".join(map(memo.__getitem__, words)) + self.end
+        return self.encode_many([text])[0]
+
+    def encode_part(self, texts: list[bytes]) -> list[bytes]:
+        joined = b"\n".join(texts)
+        if self.plain is not None and b"<" not in joined:
+            joined = joined.lower()  # ASCII only; special tokens, which hold a "<", are matched as written
+        data = np.frombuffer(joined, dtype=np.uint8)
+        starts, ends = self.cut(data)
+        hashes = span_hashes(data, starts, ends)
+        at = self.memo.find(hashes)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new, first = np.unique(hashes[missing], return_index=True)
+            if len(self.memo) + len(new) > MEMO_WORDS:
+                self.memo = Memo()
+                new, first = np.unique(hashes, return_index=True)
+                missing = np.arange(len(hashes))
+            rows = missing[first]
+            for i in range(0, len(new), 20_000):
+                words = [joined[a:b].decode("utf-8") for a, b in zip(starts[rows[i : i + 20_000]].tolist(), ends[rows[i : i + 20_000]].tolist(), strict=True)]
+                self.memo.add(new[i : i + 20_000], self.ids_of_words(words))
+            at = self.memo.find(hashes)
+        lengths = self.memo.lengths[at].astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.memo.pool[np.repeat(self.memo.starts[at] - total[:-1], lengths) + np.arange(total[-1])]
+        # A text's words are those that start in it.
+        bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        cuts = total[np.searchsorted(starts, bounds)].tolist()
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] + self.end for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+class Memo:
+    """64-bit hashes of words -> token ids, in arrays with open addressing."""
+
+    def __init__(self):
+        self.keys, self.values = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
+        self.starts, self.lengths, self.pool = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 16, "<u4")
+        self.count = self.used = 0
+
+    def __len__(self) -> int:
+        return self.count
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each word, or -1."""
+        mask = np.uint64(len(self.keys) - 1)
+        slot = (hashes & mask).astype(np.int64)
+        key = self.keys[slot]
+        out = np.where(key == hashes, self.values[slot], -1)
+        open_ = np.flatnonzero((key != hashes) & (key != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & int(mask)
+            key = self.keys[slot[open_]]
+            hit = key == hashes[open_]
+            out[open_[hit]] = self.values[slot[open_[hit]]]
+            open_ = open_[~hit & (key != 0)]
+        return out
+
+    def add(self, hashes: np.ndarray, ids: list[np.ndarray]) -> None:
+        """hashes: distinct and not yet known."""
+        n, sizes = len(hashes), np.array([len(x) for x in ids], dtype=np.int64)
+        if 2 * (self.count + n) > len(self.keys):
+            known = self.keys != 0
+            keys, values = self.keys[known], self.values[known]
+            size = 1 << int(4 * (self.count + n)).bit_length()
+            self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self.put(keys, values)
+        self.starts, self.lengths = grown(self.starts, self.count + n), grown(self.lengths, self.count + n)
+        self.pool = grown(self.pool, self.used + int(sizes.sum()))
+        self.starts[self.count : self.count + n] = self.used + np.cumsum(sizes) - sizes
+        self.lengths[self.count : self.count + n] = sizes
+        if n:
+            self.pool[self.used : self.used + int(sizes.sum())] = np.concatenate(ids)
+        self.put(hashes, np.arange(self.count, self.count + n, dtype=np.int32))
+        self.count, self.used = self.count + n, self.used + int(sizes.sum())
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        slot = (keys & np.uint64(mask)).astype(np.int64)
+        while len(keys):
+            free = self.keys[slot] == 0
+            _, first = np.unique(slot[free], return_index=True)
+            mine = np.flatnonzero(free)[first]
+            self.keys[slot[mine]], self.values[slot[mine]] = keys[mine], values[mine]
+            rest = np.ones(len(keys), dtype=bool)
+            rest[mine] = False
+            keys, values, slot = keys[rest], values[rest], (slot[rest] + 1) & mask
+
+
+def grown(a: np.ndarray, n: int) -> np.ndarray:
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
 
 def encoder_source(spark: SparkSession, path: str, end_id: int):
@@ -119,7 +245,7 @@ def train_dictionary(docs: DataFrame, get, rows: int = SAMPLE_ROWS) -> bytes:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = get()
         for b in batches:
-            yield pd.DataFrame({"id": b["doc_id"], "ids": [encoder.encode(t)[: 4 * SAMPLE_IDS] for t in b["text"]]})
+            yield pd.DataFrame({"id": b["doc_id"], "ids": [x[: 4 * SAMPLE_IDS] for x in encoder.encode_many(b["text"].tolist())]})
 
     got = sample.mapInPandas(run, "id long, ids binary").orderBy("id").limit(2 * rows).collect()
     samples = sorted(bytes(r["ids"]) for r in got)
@@ -157,8 +283,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, sa
             return pd.DataFrame({"file": [file], "block": [block], "dictionary_sha256": [digest], "doc_ids": [ids], "n_tokens": [counts], "offsets": [ends.tolist()], "payload": [b"".join(frames)]})
 
         for b in batches:
-            for file, doc_id, text in zip(b["file"], b["doc_id"], b["text"], strict=True):  # noqa: B020
-                raw = encoder.encode(text)
+            for file, doc_id, raw in zip(b["file"], b["doc_id"], encoder.encode_many(b["text"].tolist()), strict=True):  # noqa: B020
                 ids.append(None if doc_id is None or doc_id != doc_id else int(doc_id))
                 counts.append(len(raw) // 4)
                 frames.append(press.compress(raw))
@@ -254,4 +379,4 @@ def encode_and_read(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFr
     return read_store(docs.sparkSession, write_store(docs, path, tokenizer_path, end_id))
 
 
-__all__ = ["Encoder", "encode_and_read", "read_documents", "read_store", "stage", "train_dictionary", "write_store"]
+__all__ = ["Encoder", "encode_and_read", "read_documents", "read_store", "train_dictionary", "write_store"]
