@@ -283,16 +283,21 @@ class ChunkMap:
 _COMPILED: dict[int, Transducer] = {}
 
 
+def transducer_of(model: bytes) -> Transducer:
+    """The worker's own transducer, which outlives a task. Closures find it through the module, not a copy of its globals."""
+    key = hash(model)
+    if key not in _COMPILED:
+        _COMPILED[key] = Transducer(model)
+    return _COMPILED[key]
+
+
 def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT, long_chars: int = LONG_CHARS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit per row of docs (doc_id, text)."""
     with open(model_path, "rb") as f:  # a vocabulary file, so of bounded size
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def get() -> Transducer:
-        key = hash(shared.value)
-        if key not in _COMPILED:
-            _COMPILED[key] = Transducer(shared.value)
-        return _COMPILED[key]
+        return transducer_of(shared.value)
 
     def whole(batches):
         import pyarrow as pa

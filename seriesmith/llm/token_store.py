@@ -37,7 +37,7 @@ SAMPLE_ROWS = 4_000
 SAMPLE_IDS = 2_000
 BLOCK_BYTES = 4 << 20
 LEVEL = 3
-MEMO_WORDS = 2_500_000
+MEMO_WORDS = 1_000_000
 PART_BYTES = 4 << 20
 #: A digit: the pre-tokenizer cuts digits off one by one, so no other text yields its token.
 MARK = "7"
@@ -223,16 +223,18 @@ def encoder_source(spark: SparkSession, path: str, end_id: int):
     with open(path, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
 
-    def get() -> Encoder:
-        key = (hashlib.sha256(shared.value).digest(), end_id)
-        if key not in _ENCODERS:
-            _ENCODERS[key] = Encoder(shared.value, end_id)
-        return _ENCODERS[key]
+    return lambda: encoder_of(shared.value, end_id)
 
-    return get
 
+_ENCODERS: dict[tuple[int, int], Encoder] = {}
 
-_ENCODERS: dict[tuple[bytes, int], Encoder] = {}
+
+def encoder_of(tokenizer_json: bytes, end_id: int) -> Encoder:
+    """The worker's own encoder, whose memo outlives a task. Closures find it through the module, not a copy of its globals."""
+    key = (hash(tokenizer_json), end_id)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(tokenizer_json, end_id)
+    return _ENCODERS[key]
 
 
 def train_dictionary(docs: DataFrame, get, rows: int = SAMPLE_ROWS) -> bytes:
