@@ -7,7 +7,7 @@ aggregates skip it. Results are NULL where a value is missing; ``na_out`` gives
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
@@ -73,10 +73,10 @@ class Series:
 
     by: Sequence[str]
     order: Sequence[str]
-    w: WindowSpec = field(init=False, repr=False)
 
-    def __post_init__(self):
-        object.__setattr__(self, "w", Window.partitionBy(*self.by).orderBy(*self.order))
+    @property
+    def w(self) -> WindowSpec:
+        return Window.partitionBy(*self.by).orderBy(*self.order)
 
     @property
     def rn(self) -> Column:
