@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage, text_or_empty
+from .common import NULL_ID, stage, text_or_empty
 
 QUOTE = r"^((?:[ \t]*>)+)"
 ATTRIBUTION = r"(?i)^\s*on .{1,200} wrote:\s*$"
@@ -56,7 +56,10 @@ def hashed(df: DataFrame, text: str) -> DataFrame:
 
 def link_quotes(messages: DataFrame) -> DataFrame:
     """messages (conv_id, turn, role, text) -> conv_id, turn, role, text, thread, parent_turn, depth, n_quotes, n_linked."""
-    own = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", text_or_empty().alias("text"))
+    # Nulls are named by a number, so that such messages find their own parts; they are kept out of the linking.
+    named = [F.coalesce(F.col(c).cast("long"), F.lit(NULL_ID)).alias(c) for c in ("conv_id", "turn")]
+    own = messages.select(*named, "role", text_or_empty().alias("text"))
+    linkable = (F.col("conv_id") != NULL_ID) & (F.col("turn") != NULL_ID)
     own = own.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n")).drop("n").withColumn("mid", F.xxhash64("role", "text"))
     quoting = F.col("text").rlike(r"(?m)^[ \t]*>")
     plain = own.where(~quoting)
@@ -75,15 +78,15 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     quotes = passages.where("level > 0").select(*KEYS, "run", "level", "said")
     asked = quotes.select("conv_id", "turn", "mid", "run", "level", F.lit(0).alias("rank"), normalised(F.col("said")).alias("norm"))
     asked = asked.unionByName(lines(quotes, "said").where(enough).select("conv_id", "turn", "mid", "run", "level", F.lit(1).alias("rank"), normalised(F.col("one")).alias("norm")))
-    asked = stage(hashed(asked, "norm").drop("norm"), "chat-asked")
+    asked = stage(hashed(asked, "norm").drop("norm").where(linkable), "chat-asked")
     # Only hashes that some quote asks for go into the as-of join.
-    source = hashed(wholes.unionByName(singles), "norm").drop("norm").join(asked.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
+    source = hashed(wholes.unionByName(singles), "norm").drop("norm").where(linkable).join(asked.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
     source = source.distinct().select("conv_id", "hash", "turn", F.struct("turn", "mid").alias("of"))
     events = source.withColumn("q", F.lit(None).cast("struct<mid:bigint,run:bigint,level:int,rank:int>")).unionByName(
         asked.select("conv_id", "hash", "turn", F.lit(None).cast("struct<turn:bigint,mid:bigint>").alias("of"), F.struct("mid", F.col("run").cast("long").alias("run"), F.col("level").cast("int").alias("level"), "rank").alias("q"))
     )
     before = Window.partitionBy("conv_id", "hash").orderBy("turn", F.col("of").isNotNull(), "of.mid").rowsBetween(Window.unboundedPreceding, -1)
-    found = events.withColumn("of", F.last("of", ignorenulls=True).over(before)).where("q IS NOT NULL AND of IS NOT NULL AND turn IS NOT NULL")
+    found = events.withColumn("of", F.last("of", ignorenulls=True).over(before)).where("q IS NOT NULL AND of IS NOT NULL")
     best = found.groupBy("conv_id", "turn", "q.mid", "q.run", "q.level").agg(F.min_by("of", F.struct("q.rank", -F.col("of.turn"), "of.mid")).alias("of"), F.min("q.rank").alias("rank"))
     counts = best.groupBy("conv_id", "turn", "mid").agg(F.count("*").alias("n_linked"))
     parents = best.where("level = 1").groupBy("conv_id", "turn", "mid").agg(F.min_by("of", F.struct("rank", -F.col("of.turn"), "of.mid")).alias("of"))
@@ -91,14 +94,15 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     roots = follow(parents)
     n_quotes = quotes.groupBy("conv_id", "turn", "mid").agg(F.count("*").alias("n_quotes"))
     same = ["conv_id", "turn", "mid"]
-    # Left joins on keys that may be null: such messages simply find nothing.
     clean = own.where(quoting).join(said.drop("role"), same, "left").withColumn("text", F.coalesce("said", F.lit(""))).drop("said")
     told = plain.unionByName(clean)
     for part in (n_quotes, counts, parents.withColumnRenamed("up_turn", "parent_turn").drop("up_mid"), roots):
         told = told.join(part, same, "left")
     zero = F.lit(0).cast("long")
-    return told.select(
-        "conv_id", "turn", "role", F.btrim("text", F.lit(" \t\r\n")).alias("text"), F.coalesce("root_turn", "turn").alias("thread"), "parent_turn",
+    told = told.withColumn("root_turn", F.coalesce("root_turn", "turn"))
+    unnamed = {c: F.when(F.col(c) != NULL_ID, F.col(c)) for c in ("conv_id", "turn", "root_turn")}
+    return told.withColumns(unnamed).select(
+        "conv_id", "turn", "role", F.btrim("text", F.lit(" \t\r\n")).alias("text"), F.col("root_turn").alias("thread"), "parent_turn",
         F.coalesce("depth", zero).alias("depth"), F.coalesce("n_quotes", zero).alias("n_quotes"), F.coalesce("n_linked", zero).alias("n_linked"),
     )
 
