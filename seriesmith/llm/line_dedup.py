@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, joined, stage
 
-PARTS = 3
+PARTS = 2
 BLOCK = 256
 MIN_CHARS = 16
 
