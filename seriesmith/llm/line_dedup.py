@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, joined, stage
 
-PARTS = 2
+PARTS = 3
 BLOCK = 256
 MIN_CHARS = 16
 
@@ -47,14 +47,14 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def part_keys(line: Column, length: Column) -> Column:
-    """Structs (key, lo, hi): a hash of all but one part, and the places at which the edit then lies."""
+    """Structs (key, part, lo, hi): a hash of all but one part, and the places at which the edit then lies."""
     keys = []
     for longer in (False, True):
         q = length - 1 if longer else length  # the shorter line's length
         for j in range(PARTS):
             lo, hi = F.floor(q * j / PARTS).cast("int"), F.floor(q * (j + 1) / PARTS).cast("int")
             key = F.xxhash64(q, F.lit(j), F.substring(line, F.lit(1), lo), F.right(line, q - hi))
-            keys.append(F.struct(key.alias("key"), lo.alias("lo"), (hi if longer else hi - 1).alias("hi")))
+            keys.append(F.struct(key.alias("key"), F.lit(j).alias("part"), lo.alias("lo"), (hi if longer else hi - 1).alias("hi")))
     return F.array(*keys)
 
 
@@ -68,19 +68,28 @@ def block_hashes(line: Column, length: Column, shift: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda k: F.xxhash64(k, F.substring(line, k * BLOCK + 1 + shift, F.lit(BLOCK))))
 
 
+def hulls(spans: Column) -> Column:
+    """One span for each part that has any: the same part of a line seen as the longer and as the shorter of two."""
+    out = []
+    for j in range(PARTS):
+        mine = F.filter(spans, lambda x, j=j: x["part"] == j)
+        out.append(F.struct(F.array_min(F.transform(mine, lambda x: x["lo"])).alias("lo"), F.array_max(F.transform(mine, lambda x: x["hi"])).alias("hi")))
+    return F.array(*out)
+
+
 def base_hash(line: Column, length: Column) -> Column:
     """Hash of a text by its blocks; the empty block past the end, if any, is left out."""
     return F.xxhash64(length, xor_all(block_hashes(line, length, 0)))
 
 
 def variants(rows: DataFrame) -> DataFrame:
-    """rows (h1, h2, line, spans) -> h1, h2, variant, place: the line without the character at place, for places in spans."""
+    """rows (h1, h2, first, line, spans) -> h1, h2, first, variant, place: the line without the character at place, for places in spans. A place may come twice."""
     n = F.length("line")
     blocks = F.floor((n - 2) / BLOCK).cast("int")  # the last block of a variant
     before = F.transform(F.sequence(F.lit(0), blocks), lambda k: F.xxhash64(k, F.substring("line", k * BLOCK + 1, F.lit(BLOCK))))
     after = F.transform(F.sequence(F.lit(0), blocks), lambda k: F.xxhash64(k, F.substring("line", k * BLOCK + 2, F.lit(BLOCK))))
     held = rows.where(n >= 2).withColumn("__n", n).withColumn("__last", blocks).withColumn("__before", before).withColumn("__after", after)
-    spans = held.withColumn("__span", F.explode(F.array_distinct("spans"))).where("__span.hi >= __span.lo")
+    spans = held.withColumn("__span", F.explode(hulls(F.col("spans")))).where("__span.hi >= __span.lo")
     # One row for each block that a span touches.
     first = F.floor(F.col("__span.lo") / BLOCK).cast("int")
     final = F.least(F.floor(F.col("__span.hi") / BLOCK).cast("int"), F.col("__last"))
@@ -90,12 +99,12 @@ def variants(rows: DataFrame) -> DataFrame:
     hi = F.least(F.col("__span.hi"), F.col("__n") - 1, F.when(F.col("__b") == F.col("__last"), F.col("__n") - 1).otherwise(F.col("__b") * BLOCK + BLOCK - 1))
     outside = xor_all(F.slice("__before", F.lit(1), F.col("__b"))).bitwiseXOR(xor_all(F.slice("__after", F.col("__b") + 2, F.greatest(F.col("__last") - F.col("__b"), F.lit(0)))))
     window = F.substring("line", F.col("__b") * BLOCK + 1, F.lit(BLOCK + 1))
-    ready = touched.select("h1", "h2", (F.col("__n") - 1).alias("__m"), "__b", lo.alias("__lo"), hi.alias("__hi"), outside.alias("__outside"), window.alias("__w")).where("__hi >= __lo")
+    ready = touched.select("h1", "h2", "first", (F.col("__n") - 1).alias("__m"), "__b", lo.alias("__lo"), hi.alias("__hi"), outside.alias("__outside"), window.alias("__w")).where("__hi >= __lo")
     cut = ready.withColumn("place", F.explode(F.sequence("__lo", "__hi")))
     inside = F.col("place") - F.col("__b") * BLOCK
     text = F.concat(F.substring("__w", F.lit(1), inside), F.substring("__w", inside + 2, F.lit(BLOCK + 1)))
     variant = F.xxhash64("__m", F.col("__outside").bitwiseXOR(F.xxhash64("__b", text)))
-    return cut.select("h1", "h2", variant.alias("variant"), "place").distinct()
+    return cut.select("h1", "h2", "first", variant.alias("variant"), "place")
 
 
 def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id") -> DataFrame:
@@ -107,10 +116,9 @@ def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_i
     shared = stage(shared, "lines-shared")
     order = F.struct("id", "tie", "pos")
     able = joined(keyed.withColumn("key", F.col("k.key")), shared, ["key"], "left_semi")
-    able = able.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.min("line").alias("line"), F.collect_set(F.struct("k.lo", "k.hi")).alias("spans"))
+    able = able.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.min("line").alias("line"), F.collect_set(F.struct("k.part", "k.lo", "k.hi")).alias("spans"))
     able = stage(able, "lines-able")
-    known = able.select("h1", "h2", "first")
-    left_out = variants(able.select("h1", "h2", "line", "spans")).join(known, ["h1", "h2"])
+    left_out = variants(able.select("h1", "h2", "first", "line", "spans"))
     left_out = stage(left_out, "lines-variants")
     whole = able.select("h1", "h2", "first", base_hash(F.col("line"), F.length("line")).alias("variant"))
     # Replacement: the same variant at the same place.
