@@ -70,11 +70,12 @@ def block_hashes(line: Column, length: Column, shift: int) -> Column:
 
 def hulls(spans: Column) -> Column:
     """One span for each part that has any: the same part of a line seen as the longer and as the shorter of two."""
-    out = []
-    for j in range(PARTS):
-        mine = F.filter(spans, lambda x, j=j: x["part"] == j)
-        out.append(F.struct(F.array_min(F.transform(mine, lambda x: x["lo"])).alias("lo"), F.array_max(F.transform(mine, lambda x: x["hi"])).alias("hi")))
-    return F.array(*out)
+
+    def hull(j: int) -> Column:
+        mine = F.filter(spans, lambda x: x["part"] == j)
+        return F.struct(F.array_min(F.transform(mine, lambda x: x["lo"])).alias("lo"), F.array_max(F.transform(mine, lambda x: x["hi"])).alias("hi"))
+
+    return F.array(*[hull(j) for j in range(PARTS)])
 
 
 def base_hash(line: Column, length: Column) -> Column:
