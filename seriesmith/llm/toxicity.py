@@ -243,22 +243,28 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     return texts.join(F.broadcast(chosen), "__id").select("text", "y", "fold")
 
 
-def count_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def count_keys(batches) -> Iterator:
+    """Arrow batches of key, toxic and clean: texts of each kind that hold the key."""
+    import pyarrow as pa
+
     toxic, clean = Counter(), Counter()
 
-    def told() -> pd.DataFrame:
+    def told():
         keys = list(toxic | clean)
-        return pd.DataFrame({"key": keys, "toxic": [toxic[k] for k in keys], "clean": [clean[k] for k in keys]})
+        for i in range(0, len(keys), 100_000):
+            part = keys[i : i + 100_000]
+            counts = [pa.array([c[k] for k in part], pa.int64()) for c in (toxic, clean)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *counts], names=["key", "toxic", "clean"])
 
     for batch in batches:
-        for text, y in zip(batch["text"], batch["y"], strict=True):
+        for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
             found = {k for w in set(WORD.findall(text.lower())) for k in keys_of(w)}
             (toxic if y else clean).update(found)
         if len(toxic) + len(clean) > 400_000:
-            yield told()
+            yield from told()
             toxic.clear()
             clean.clear()
-    yield told()
+    yield from told()
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
@@ -274,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     tox0, clean0 = sizes[0, 1], sizes[0, 0]
     least = max(3, tox0 // 100)
     keys = (
-        rows.where("fold = 0").mapInPandas(count_keys, "key string, toxic long, clean long").groupBy("key")
+        rows.where("fold = 0").mapInArrow(count_keys, "key string, toxic long, clean long").groupBy("key")
         .agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where((F.col("t") >= least) & (F.col("t") * (clean0 + 1) > 7 * F.col("c") * (tox0 + 1)))
         .orderBy(F.desc(F.col("t") / (F.col("c") + 1)), "key").limit(LEXICON_LIMIT).collect()
     )
