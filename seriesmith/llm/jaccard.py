@@ -36,7 +36,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from fractions import Fraction
-from math import ceil
 from typing import Any
 
 import numpy as np
@@ -156,7 +155,8 @@ class Prefixes:
     def __init__(self, k: int, t: Fraction, counts: np.ndarray):
         self.k, self.t, self.counts = k, t, counts
         self.mask = np.uint64(len(counts) - 1)
-        self.least = next(n for n in range(1, 10**6) if ceil(t * n) < n)  # smaller sets link only with equal ones
+        # Sets of fewer shingles link only with equal ones: no larger set is small enough to hold them, and any other of their size differs too much.
+        self.least = next(n for n in range(1, 10**6) if int(n / t) > n)
         self.seen: set[tuple[int, int]] = set()
 
     def rows(self, text: bytes | None, passes: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, int, int, float, np.ndarray | None]]:

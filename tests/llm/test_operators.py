@@ -378,6 +378,22 @@ def test_jaccard_brute_force(spark, k, percent, rows):
         assert jaccard.keep_one(odd, k, percent).count() == len(firsts) + 1
 
 
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_of_the_smallest_linked_sets(spark, k, percent):
+    # One word more at either end: n shingles inside n + 1, among them 9 in 10 and 4 in 5.
+    texts = []
+    for n in range(1, 14):
+        for more in range(3):
+            words = [f"n{n}m{more}w{i}" for i in range(n + k)]
+            texts += [" ".join(words[:-1]), " ".join(words if more else words[1:])]
+        texts += [" ".join([*words[:-1], "other"]), " ".join(words[:-1])]
+    got = jaccard.classes(docs(spark, texts), k, percent).orderBy("doc_id").collect()
+    want = brute_components(texts, k, percent)
+    assert [(r["n_shingles"], r["component_id"]) for r in got] == want
+    size = {90: 9, 80: 4}[percent]
+    assert any(c < i and {n, want[c][0]} == {size, size + 1} for i, (n, c) in enumerate(want))
+
+
 def test_tree_join_of_a_large_group():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**62, 300, dtype=np.uint64)
