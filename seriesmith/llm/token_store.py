@@ -129,10 +129,11 @@ class Encoder:
 
     def encode_part(self, texts: list[bytes]) -> list[bytes]:
         joined = b"\n".join(texts)
-        if self.plain is not None and b"<" not in joined:
-            joined = joined.lower()  # ASCII only; special tokens, which hold a "<", are matched as written
         data = np.frombuffer(joined, dtype=np.uint8)
         starts, ends = self.cut(data)
+        if self.plain is not None:
+            data = lower_plain(data, starts, ends)
+            joined = data.tobytes()
         hashes = span_hashes(data, starts, ends)
         at = self.memo.find(hashes)
         missing = np.flatnonzero(at < 0)
@@ -157,6 +158,22 @@ class Encoder:
         return [raw[4 * a : 4 * b] + self.end for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def lower_plain(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes with the words of ASCII alone in lower case.
+
+    A normaliser composes a capital and a mark after it before it lowers them, so words
+    with other characters stay as written, and so do words with a "<", for special tokens.
+    """
+    capitals = np.flatnonzero((data >= 65) & (data <= 90))
+    if not len(capitals):
+        return data
+    kept = np.flatnonzero((data >= 128) | (data == 60))
+    word = np.searchsorted(starts, capitals, side="right") - 1
+    lowered = data.copy()
+    lowered[capitals[np.searchsorted(kept, starts[word]) == np.searchsorted(kept, ends[word])]] += 32
+    return lowered
+
+
 class Memo:
     """64-bit hashes of words -> token ids, in arrays with open addressing."""
 

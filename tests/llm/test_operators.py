@@ -190,6 +190,23 @@ def test_token_store_round_trip(spark, tmp_path):
     assert token_store.encode_and_read(df.limit(0), path, 2).count() == 0
 
 
+def test_token_ids_of_capitals_with_marks():
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    with open(path, "rb") as f:
+        encoder = token_store.Encoder(f.read(), 2)
+    marked = [c + m for c, m in zip("JHTWY", "\u030c\u0331\u0308\u030a\u030a", strict=True)]
+    marked += [f"A{x}b, X{x}." for x in marked] + ["\u030cJ", "K\u0301 k\u0301", "J J\u030c"]
+    # With a "<" in the part or not: the ids of a text do not depend on the others.
+    for others in ([], ["A <b> C"], ["<|endoftext|>X Y<|ENDOFTEXT|>", "PLAIN Words, AND Capitals."]):
+        texts = [*marked, *others]
+        want = [np.array([*own.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for t in texts]
+        assert encoder.encode_many(texts) == want
+        assert [encoder.encode(t) for t in texts] == want
+
+
 def test_token_memo_survives_growth():
     memo = token_store.Memo()
     rng = np.random.default_rng(2)
