@@ -3,8 +3,9 @@
 A message's lines have a quote level: the number of ``>`` in front. A run of lines of one
 level is a passage. Normalised passages (lower case, single spaces) are hashed and joined,
 within their conversation, to the unquoted passages of earlier messages: the whole passage,
-or else one of its lines of three words or more. The latest earlier match of a level-1
-passage is the message's parent, a whole passage before single lines. Following parents
+or else one of its lines that are not empty, in any script and of any length. A level-1
+passage's match is the message's parent: a whole passage before single lines, a longer line
+before a shorter one, and the latest earlier one of those alike. Following parents
 gives threads. The result holds every message without its quotes, in the order of
 conversation, thread and turn; a thread is named by its first message's turn.
 
@@ -29,7 +30,8 @@ from .common import NULL_ID, stage, text_or_empty
 
 QUOTE = r"^((?:[ \t]*>)+)"
 ATTRIBUTION = r"(?i)^\s*on .{1,200} wrote:\s*$"
-MIN_LINE_WORDS = 3
+#: Single lines rank after whole passages, by so much less their length.
+LINE_RANK = 2**31 - 1
 KEYS = ["conv_id", "turn", "role", "mid"]
 
 
@@ -70,14 +72,14 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     said = quoters.where("level = 0").groupBy(*KEYS).agg(joined.alias("said"))
     # Originals: whole messages, passages and lines that are not quotes.
     lines = lambda df, text: df.withColumn("one", F.explode(F.split(text, "\n", -1)))
-    enough = F.size(F.split(normalised(F.col("one")), " ")) >= MIN_LINE_WORDS
     originals = plain.select(*KEYS, F.col("text").alias("said")).unionByName(said.select(*KEYS, "said"))
     blocks = passages.where("level = 0").select(*KEYS, "said")
     wholes = originals.unionByName(blocks).select("conv_id", "turn", "mid", normalised(F.col("said")).alias("norm"))
-    singles = lines(originals, "said").where(enough).select("conv_id", "turn", "mid", normalised(F.col("one")).alias("norm"))
+    singles = lines(originals, "said").select("conv_id", "turn", "mid", normalised(F.col("one")).alias("norm"))
     quotes = passages.where("level > 0").select(*KEYS, "run", "level", "said")
     asked = quotes.select("conv_id", "turn", "mid", "run", "level", F.lit(0).alias("rank"), normalised(F.col("said")).alias("norm"))
-    asked = asked.unionByName(lines(quotes, "said").where(enough).select("conv_id", "turn", "mid", "run", "level", F.lit(1).alias("rank"), normalised(F.col("one")).alias("norm")))
+    asked_lines = lines(quotes, "said").select("conv_id", "turn", "mid", "run", "level", normalised(F.col("one")).alias("norm"))
+    asked = asked.unionByName(asked_lines.withColumn("rank", F.lit(LINE_RANK) - F.length("norm")))
     asked = stage(hashed(asked, "norm").drop("norm").where(linkable), "chat-asked")
     # Only hashes that some quote asks for go into the as-of join.
     source = hashed(wholes.unionByName(singles), "norm").drop("norm").where(linkable).join(asked.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")

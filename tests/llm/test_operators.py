@@ -348,6 +348,27 @@ def test_quotation_linking(spark):
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
+def test_partial_quotes_of_short_lines_and_without_spaces(spark):
+    rows = [
+        (1, 0, "user", "Shall we go?\nYes, please\nOr not at all, said the other one"),
+        (1, 1, "user", "Well\nYes, please"),
+        (1, 2, "user", "> Yes, please\ngood"),  # the latest that said it
+        (1, 3, "user", "> Yes, please\n> Or not at all, said the other one\nhm"),  # the longer line is the first message's
+        (1, 4, "user", "> Well\n> Yes, please\nok"),  # a whole passage
+        (1, 5, "user", "> \n>\nempty lines link nothing"),
+        (2, 0, "user", "駅はどこですか\n私はここが初めてです\nありがとう"),
+        (2, 1, "user", "> 私はここが初めてです\nはい"),
+        (2, 2, "user", "สวัสดีครับ\nไปไหนมา"),
+        (2, 3, "user", "> ไปไหนมา\n中文"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["thread"], r["n_quotes"], r["n_linked"]) for r in chat.format_chat(df).collect()}
+    assert got == {
+        (1, 0): (None, 0, 0, 0), (1, 1): (None, 1, 0, 0), (1, 2): (1, 1, 1, 1), (1, 3): (0, 0, 1, 1), (1, 4): (1, 1, 1, 1), (1, 5): (None, 5, 1, 0),
+        (2, 0): (None, 0, 0, 0), (2, 1): (0, 0, 1, 1), (2, 2): (None, 2, 0, 0), (2, 3): (2, 2, 1, 1),
+    }
+
+
 # Jaccard join
 
 
