@@ -51,6 +51,17 @@ def utf8(name: str = "text") -> Column:
     return F.encode(text_or_empty(name), "UTF-8")
 
 
-def joined(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Join with a written table of narrow rows: broadcast if its counted rows allow."""
-    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
+def in_row(df: DataFrame) -> DataFrame:
+    """df's columns as fields of one column ``row``, so that no name of theirs meets one of an operator's."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def from_row(columns: list[str], row: str = "row") -> list[Column]:
+    """The columns that in_row packed."""
+    return [F.col(f"{row}.`{c}`") for c in columns]
+
+
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str, counted: DataFrame | None = None) -> DataFrame:
+    """Join with narrow rows: the right side is broadcast if its rows, or those of counted (a written table that it groups), allow."""
+    few = (right if counted is None else counted).count() <= BROADCAST_ROWS
+    return left.join(F.broadcast(right) if few else right, on, how)

@@ -3,7 +3,8 @@
 Lines are compared trimmed of spaces, tabs and carriage returns. A line goes if an earlier
 line (in the order of document id and position) is equal to it, or, for lines of
 ``min_chars`` characters or more, differs from it by at most one inserted, deleted or
-replaced character. The earliest stays; empty lines always stay.
+replaced character. The earliest stays; empty lines always stay. The edit bound is one,
+since that keeps a group's variants in proportion to its characters.
 
 Equal variants are joined as follows. Two lines within one edit share the variant that
 leaves out the edited character: both leave it out at the same place (replacement), or one
@@ -17,13 +18,17 @@ characters, so two exact steps keep them few:
   ``BLOCK`` characters before and after the edit, so a long line costs time in proportion
   to its length.
 
+No text is shuffled with keys or variants: rows of two or three numbers are joined first,
+and the texts of the few lines that can have a partner are fetched from their documents.
 In a group of equal variants every line is paired with the earliest only, which decides
 "an earlier one exists", so a group of n lines makes n pairs. Pairs are verified with the
 edit distance of their texts. Everything is built of DataFrame functions.
 
 Defined results: a null text stays null and has no lines; rows with the same id and text
 are one occurrence (all stay alike); null ids sort first; ties of the id are ordered by
-the text's hash; an empty table gives an empty result; other columns are carried along.
+the text's hash; texts and lines of any length are compared whole; an empty table gives an
+empty result; other columns are carried along whatever their names, but ``text``,
+``n_lines`` and ``n_dropped`` are replaced.
 """
 
 from __future__ import annotations
@@ -31,11 +36,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, joined, stage
+from .common import NULL_ID, in_row, joined, stage
 
 PARTS = 3
 BLOCK = 256
 MIN_CHARS = 16
+#: Bits of a key row's number that name the line; the others say which part is left out.
+LINE_BITS = 61
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -46,113 +53,150 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return trimmed.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def part_keys(line: Column, length: Column) -> Column:
-    """Structs (key, part, lo, hi): a hash of all but one part, and the places at which the edit then lies."""
+def bounds(q: Column) -> list[Column]:
+    """Places at which a line of q characters is cut into parts."""
+    return [F.floor(q * j / PARTS).cast("int") for j in range(PARTS + 1)]
+
+
+def part_keys(line: Column) -> Column:
+    """Hashes of all but one part: the line as the shorter of two (one for each part), then as the longer."""
+    n = F.length(line)
+    piece = lambda a, b: F.xxhash64(F.substring(line, a + 1, b - a))
     keys = []
     for longer in (False, True):
-        q = length - 1 if longer else length  # the shorter line's length
-        for j in range(PARTS):
-            lo, hi = F.floor(q * j / PARTS).cast("int"), F.floor(q * (j + 1) / PARTS).cast("int")
-            key = F.xxhash64(q, F.lit(j), F.substring(line, F.lit(1), lo), F.right(line, q - hi))
-            keys.append(F.struct(key.alias("key"), F.lit(j).alias("part"), lo.alias("lo"), (hi if longer else hi - 1).alias("hi")))
+        q = n - 1 if longer else n  # the shorter line's length
+        at = bounds(q)
+        shift = 1 if longer else 0  # behind the edit, the longer line's characters are one further
+        left = [piece(a, b) for a, b in zip(at, at[1:], strict=False)]
+        right = [piece(a + shift, b + shift) for a, b in zip(at, at[1:], strict=False)]
+        keys += [F.xxhash64(q, F.lit(j), *left[:j], *right[j + 1 :]) for j in range(PARTS)]
     return F.array(*keys)
 
 
-def xor_all(hashes: Column) -> Column:
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+def spans(flags: Column, n: Column) -> Column:
+    """Per part of a line of n characters the places at which its edit may lie; flags: bit j for part j as the shorter line, PARTS + j as the longer."""
 
+    def hull(j: int) -> Column:
+        short, long = bounds(n), bounds(n - 1)
+        as_short, as_long = F.getbit(flags, F.lit(j)) == 1, F.getbit(flags, F.lit(PARTS + j)) == 1
+        lo = F.least(F.when(as_short, short[j]), F.when(as_long, long[j]))
+        hi = F.greatest(F.when(as_short, short[j + 1] - 1), F.when(as_long, long[j + 1]))
+        return F.struct(lo.alias("lo"), hi.alias("hi"))
 
-def block_hashes(line: Column, length: Column, shift: int) -> Column:
-    """Hash of each block of the line, the line taken from character ``shift`` on."""
-    last = F.greatest(F.floor((length - 1) / BLOCK).cast("int"), F.lit(0))
-    return F.transform(F.sequence(F.lit(0), last), lambda k: F.xxhash64(k, F.substring(line, k * BLOCK + 1 + shift, F.lit(BLOCK))))
+    return F.array(*[hull(j) for j in range(PARTS)])
 
 
-def hulls(spans: Column) -> Column:
-    """One span for each part that has any: the same part of a line seen as the longer and as the shorter of two."""
+def xor_all(hashes: Column) -> Column:
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
 
-    def hull(j: int) -> Column:
-        mine = F.filter(spans, lambda x: x["part"] == j)
-        return F.struct(F.array_min(F.transform(mine, lambda x: x["lo"])).alias("lo"), F.array_max(F.transform(mine, lambda x: x["hi"])).alias("hi"))
 
-    return F.array(*[hull(j) for j in range(PARTS)])
+def block_hashes(line: Column, last: Column, shift: int) -> Column:
+    """Hash of each block of the line up to the block ``last``, the line taken from character ``shift`` on."""
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.xxhash64(k, F.substring(line, k * BLOCK + 1 + shift, F.lit(BLOCK))))
 
 
-def base_hash(line: Column, length: Column) -> Column:
+def base_hash(line: Column) -> Column:
     """Hash of a text by its blocks; the empty block past the end, if any, is left out."""
-    return F.xxhash64(length, xor_all(block_hashes(line, length, 0)))
+    n = F.length(line)
+    return F.xxhash64(n, xor_all(block_hashes(line, F.greatest(F.floor((n - 1) / BLOCK).cast("int"), F.lit(0)), 0)))
 
 
 def variants(rows: DataFrame) -> DataFrame:
-    """rows (h1, h2, first, line, spans) -> h1, h2, first, variant, place: the line without the character at place, for places in spans. A place may come twice."""
+    """rows (h1, line, spans) -> h1, variant, place: the line without the character at place, for places in spans. A place may come twice."""
     n = F.length("line")
     blocks = F.floor((n - 2) / BLOCK).cast("int")  # the last block of a variant
-    before = F.transform(F.sequence(F.lit(0), blocks), lambda k: F.xxhash64(k, F.substring("line", k * BLOCK + 1, F.lit(BLOCK))))
-    after = F.transform(F.sequence(F.lit(0), blocks), lambda k: F.xxhash64(k, F.substring("line", k * BLOCK + 2, F.lit(BLOCK))))
-    held = rows.where(n >= 2).withColumn("__n", n).withColumn("__last", blocks).withColumn("__before", before).withColumn("__after", after)
-    spans = held.withColumn("__span", F.explode(hulls(F.col("spans")))).where("__span.hi >= __span.lo")
+    line = F.col("line")
+    held = rows.where(n >= 2).select("h1", "line", "spans", n.alias("n"), blocks.alias("last"), block_hashes(line, blocks, 0).alias("before"), block_hashes(line, blocks, 1).alias("after"))
+    each = held.withColumn("span", F.explode("spans")).where("span.hi >= span.lo")
     # One row for each block that a span touches.
-    first = F.floor(F.col("__span.lo") / BLOCK).cast("int")
-    final = F.least(F.floor(F.col("__span.hi") / BLOCK).cast("int"), F.col("__last"))
-    touched = spans.withColumn("__b", F.explode(F.sequence(F.least(first, F.col("__last")), final)))
-    lo = F.greatest(F.col("__span.lo"), F.col("__b") * BLOCK)
+    first = F.floor(F.col("span.lo") / BLOCK).cast("int")
+    final = F.least(F.floor(F.col("span.hi") / BLOCK).cast("int"), F.col("last"))
+    touched = each.withColumn("b", F.explode(F.sequence(F.least(first, F.col("last")), final)))
+    lo = F.greatest(F.col("span.lo"), F.col("b") * BLOCK)
     # The place after a variant's last block belongs to that block.
-    hi = F.least(F.col("__span.hi"), F.col("__n") - 1, F.when(F.col("__b") == F.col("__last"), F.col("__n") - 1).otherwise(F.col("__b") * BLOCK + BLOCK - 1))
-    outside = xor_all(F.slice("__before", F.lit(1), F.col("__b"))).bitwiseXOR(xor_all(F.slice("__after", F.col("__b") + 2, F.greatest(F.col("__last") - F.col("__b"), F.lit(0)))))
-    window = F.substring("line", F.col("__b") * BLOCK + 1, F.lit(BLOCK + 1))
-    ready = touched.select("h1", "h2", "first", (F.col("__n") - 1).alias("__m"), "__b", lo.alias("__lo"), hi.alias("__hi"), outside.alias("__outside"), window.alias("__w")).where("__hi >= __lo")
-    cut = ready.withColumn("place", F.explode(F.sequence("__lo", "__hi")))
-    inside = F.col("place") - F.col("__b") * BLOCK
-    text = F.concat(F.substring("__w", F.lit(1), inside), F.substring("__w", inside + 2, F.lit(BLOCK + 1)))
-    variant = F.xxhash64("__m", F.col("__outside").bitwiseXOR(F.xxhash64("__b", text)))
-    return cut.select("h1", "h2", "first", variant.alias("variant"), "place")
-
-
-def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id") -> DataFrame:
-    """h1, h2 of the distinct lines for which an earlier line within one edit exists."""
+    hi = F.least(F.col("span.hi"), F.col("n") - 1, F.when(F.col("b") == F.col("last"), F.col("n") - 1).otherwise(F.col("b") * BLOCK + BLOCK - 1))
+    outside = xor_all(F.slice("before", F.lit(1), F.col("b"))).bitwiseXOR(xor_all(F.slice("after", F.col("b") + 2, F.greatest(F.col("last") - F.col("b"), F.lit(0)))))
+    window = F.substring("line", F.col("b") * BLOCK + 1, F.lit(BLOCK + 1))
+    ready = touched.select("h1", (F.col("n") - 1).alias("m"), "b", lo.alias("lo"), hi.alias("hi"), outside.alias("outside"), window.alias("w")).where("hi >= lo")
+    cut = ready.withColumn("place", F.explode(F.sequence("lo", "hi")))
+    inside = F.col("place") - F.col("b") * BLOCK
+    text = F.concat(F.substring("w", F.lit(1), inside), F.substring("w", inside + 2, F.lit(BLOCK + 1)))
+    variant = F.xxhash64("m", F.col("outside").bitwiseXOR(F.xxhash64("b", text)))
+    return cut.select("h1", variant.alias("variant"), "place")
+
+
+def distinct_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id") -> DataFrame:
+    """h1, h2, first (id, tie, pos of the first occurrence), n (occurrences), keys (null for short lines)."""
     lines = lines_of(docs, id_col)
-    length = F.length("line")
-    keyed = lines.where(length >= min_chars - 1).select("h1", "h2", "id", "tie", "pos", "line", F.explode(part_keys(F.col("line"), length)).alias("k"))
-    shared = keyed.groupBy(F.col("k.key").alias("key")).agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key")
-    shared = stage(shared, "lines-shared")
-    order = F.struct("id", "tie", "pos")
-    able = joined(keyed.withColumn("key", F.col("k.key")), shared, ["key"], "left_semi")
-    able = able.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.min("line").alias("line"), F.collect_set(F.struct("k.part", "k.lo", "k.hi")).alias("spans"))
-    able = stage(able, "lines-able")
-    left_out = variants(able.select("h1", "h2", "first", "line", "spans"))
-    left_out = stage(left_out, "lines-variants")
-    whole = able.select("h1", "h2", "first", base_hash(F.col("line"), F.length("line")).alias("variant"))
-    # Replacement: the same variant at the same place.
+    keys = F.when(F.length("line") >= min_chars, part_keys(F.col("line")))
+    keyed = lines.select("h1", "h2", F.struct("id", "tie", "pos").alias("at"), keys.alias("keys"))
+    return keyed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.any_value("keys").alias("keys"))
+
+
+def able_lines(docs: DataFrame, distinct: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """h1, h2, first, flags, line of the distinct lines that share a key with another."""
+    number, code = F.shiftrightunsigned("h1", 64 - LINE_BITS), F.col("part")
+    # Rows as the shorter line are negative, so the least number of a key tells whether there is one.
+    top = F.shiftleft(F.when(code < PARTS, code + 4).otherwise(code - PARTS).cast("long"), LINE_BITS)
+    keyed = distinct.where("keys IS NOT NULL").select(number.alias("number"), F.posexplode("keys").alias("part", "key"))
+    keyed = keyed.select("key", top.bitwiseOR(F.col("number")).alias("v"))
+    shared = keyed.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi AND lo < 0").select("key")
+    met = joined(keyed, stage(shared, "lines-shared"), ["key"], "left_semi")
+    bit = F.when(F.col("v") < 0, F.shiftrightunsigned("v", LINE_BITS) - 4).otherwise(F.shiftrightunsigned("v", LINE_BITS) + PARTS)
+    flags = F.bit_or(F.call_function("shiftleft", F.lit(1), bit.cast("int")))
+    # Lines whose numbers clash only share their flags.
+    able = met.groupBy(F.col("v").bitwiseAND(F.lit(2**LINE_BITS - 1)).alias("number")).agg(flags.alias("flags"))
+    able = stage(able, "lines-numbers")
+    held = joined(distinct.select(number.alias("number"), "h1", "h2", "first"), able, ["number"], "inner").drop("number")
+    held = stage(held, "lines-held")
+    # A document's able lines meet its text.
+    asked = held.groupBy(F.col("first.id").alias("id"), F.col("first.tie").alias("tie")).agg(F.collect_list(F.struct("h1", "h2", "first", "flags")).alias("lines"))
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("tie"), "text")
+    found = joined(own, asked, ["id", "tie"], "inner", held).select(F.split("text", "\n", -1).alias("cut"), F.explode("lines").alias("l"))
+    found = found.select("l.*", F.btrim(F.element_at("cut", F.col("l.first.pos") + 1), F.lit(" \t\r")).alias("line"))
+    # Repeated rows of a document give its lines again.
+    return found.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max("flags").alias("flags"), F.min("line").alias("line"))
+
+
+def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """h1, h2 of the distinct lines for which an earlier line within one edit exists."""
+    able = stage(able_lines(docs, distinct, id_col), "lines-able")
+    left_out = variants(able.select("h1", "line", spans(F.col("flags"), F.length("line")).alias("spans")))
+    whole = able.select("h1", base_hash(F.col("line")).alias("variant"), F.lit(-1).alias("place"))
+    every = stage(left_out.unionByName(whole), "lines-variants")
+    shared = every.groupBy("variant").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("variant")
+    every = joined(every, stage(shared, "lines-shared-variants"), ["variant"], "left_semi")
     member = F.struct("first", "h1", "h2")
-    earliest = left_out.groupBy("variant", "place").agg(F.min(member).alias("to"), F.count("*").alias("n")).where("n > 1").select("variant", "place", "to")
-    replaced = left_out.join(earliest, ["variant", "place"]).select("h1", "h2", "first", "to")
+    every = stage(every.join(able.select("h1", member.alias("who")), "h1").select("variant", "place", "who"), "lines-members")
+    left_out, whole = every.where("place >= 0"), every.where("place < 0").drop("place")
+    # Replacement: the same variant at the same place.
+    earliest = left_out.groupBy("variant", "place").agg(F.min("who").alias("to"))
+    replaced = left_out.join(earliest, ["variant", "place"]).select("who", "to")
     # Insertion: the variant is another line.
-    inserted = left_out.join(whole.select("variant", F.struct("first", "h1", "h2").alias("to")), "variant").select("h1", "h2", "first", "to")
-    of_whole = left_out.groupBy("variant").agg(F.min(member).alias("to"))
-    deleted = whole.join(of_whole, "variant").select("h1", "h2", "first", "to")
-    pairs = replaced.unionByName(inserted).unionByName(deleted).where("to.first < first").select("h1", "h2", F.col("to.h1").alias("g1"), F.col("to.h2").alias("g2")).distinct()
+    inserted = left_out.join(whole.withColumnRenamed("who", "to"), "variant").select("who", "to")
+    of_whole = left_out.groupBy("variant").agg(F.min("who").alias("to"))
+    deleted = whole.join(of_whole, "variant").select("who", "to")
+    pairs = replaced.unionByName(inserted).unionByName(deleted).where("to.first < who.first")
+    pairs = pairs.select("who.h1", "who.h2", F.col("to.h1").alias("g1"), F.col("to.h2").alias("g2")).distinct()
     texts = able.select("h1", "h2", "line")
     both = pairs.join(texts, ["h1", "h2"]).join(texts.toDF("g1", "g2", "other"), ["g1", "g2"])
-    long_enough = F.least(F.length("line"), F.length("other")) >= min_chars
-    return both.where(long_enough & (F.levenshtein("line", "other", 1) >= 0)).select("h1", "h2").distinct()
+    return both.where(F.levenshtein("line", "other", 1) >= 0).select("h1", "h2").distinct()
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id") -> DataFrame:
     """docs with the lines that stay as ``text``, and ``n_lines`` and ``n_dropped``."""
-    lines = lines_of(docs, id_col)
-    order = F.struct("id", "tie", "pos")
-    near = stage(near_lines(docs, min_chars, id_col), "lines-near").withColumn("near", F.lit(True))
-    repeated = lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
-    doomed = stage(repeated.join(near, ["h1", "h2"], "full"), "lines-doomed")
-    met = joined(lines.select("id", "tie", "pos", "h1", "h2"), doomed, ["h1", "h2"], "inner")
-    gone = met.where(F.col("near") | (order > F.col("first"))).groupBy("id", "tie").agg(F.collect_set("pos").alias("__gone"))
-    keyed = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn("__tie", F.xxhash64("text"))
-    gone = gone.withColumnsRenamed({"id": "__id", "tie": "__tie"})
-    both = keyed.join(gone, ["__id", "__tie"], "left")
-    cut = F.split("text", "\n", -1)
-    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("__gone")), lambda i: F.element_at(F.col("__cut"), i + 1))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
-    added = {"text": text, "n_lines": F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(F.size("__cut")), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in added]
-    ready = both.withColumn("__cut", cut)
-    return ready.select(*kept, *[c.alias(n) for n, c in added.items()])
+    distinct = stage(distinct_lines(docs, min_chars, id_col), "lines-distinct")
+    near = stage(near_lines(docs, distinct, id_col), "lines-near").withColumn("near", F.lit(True))
+    doomed = joined(distinct.select("h1", "h2", "first", "n"), near, ["h1", "h2"], "left").where("near OR n > 1").select("h1", "h2", "first", "near")
+    doomed = stage(doomed, "lines-doomed")
+    lines = lines_of(docs, id_col).select("h1", "h2", F.struct("id", "tie", "pos").alias("at"))
+    gone = joined(lines, doomed, ["h1", "h2"], "inner").where(F.col("near") | (F.col("at") > F.col("first")))
+    gone = gone.groupBy("at.id", "at.tie").agg(F.collect_set("at.pos").alias("gone"))
+    own = in_row(docs).select("row", F.coalesce(F.col(f"row.`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("row.text").alias("tie"))
+    cut = own.join(gone, ["id", "tie"], "left").select("row", "gone", F.split("row.text", "\n", -1).alias("cut"))
+    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("cut") - 1), F.col("gone")), lambda i: F.element_at(F.col("cut"), i + 1))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(stay, "\n"))
+    n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size("cut")).cast("long")
+    added = {"text": text, "n_lines": n_lines, "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in added]
+    return cut.select(*kept, *[c.alias(n) for n, c in added.items()])
