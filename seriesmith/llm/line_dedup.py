@@ -33,6 +33,8 @@ empty result; other columns are carried along whatever their names, but ``text``
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,12 +47,18 @@ MIN_CHARS = 16
 LINE_BITS = 61
 
 
+def trimmed(raw: Column) -> Column:
+    """The line without spaces, tabs and carriage returns around it; most have none, which costs less to see than to trim."""
+    ends = [f(raw, F.lit(c)) for c in " \t\r" for f in (F.startswith, F.endswith)]
+    return F.when(reduce(Column.__or__, ends), F.btrim(raw, F.lit(" \t\r"))).otherwise(raw)
+
+
 def lines_of(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id, tie, pos, line (trimmed, not empty), h1, h2."""
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("tie"), F.col("text"))
     cut = own.select("id", "tie", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
-    trimmed = cut.select("id", "tie", "pos", F.btrim("raw", F.lit(" \t\r")).alias("line")).where("line <> ''")
-    return trimmed.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    lines = cut.select("id", "tie", "pos", trimmed(F.col("raw")).alias("line")).where("line <> ''")
+    return lines.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def bounds(q: Column) -> list[Column]:
@@ -58,19 +66,27 @@ def bounds(q: Column) -> list[Column]:
     return [F.floor(q * j / PARTS).cast("int") for j in range(PARTS + 1)]
 
 
-def part_keys(line: Column) -> Column:
-    """Hashes of all but one part: the line as the shorter of two (one for each part), then as the longer."""
-    n = F.length(line)
-    piece = lambda a, b: F.xxhash64(F.substring(line, a + 1, b - a))
-    keys = []
-    for longer in (False, True):
-        q = n - 1 if longer else n  # the shorter line's length
-        at = bounds(q)
-        shift = 1 if longer else 0  # behind the edit, the longer line's characters are one further
-        left = [piece(a, b) for a, b in zip(at, at[1:], strict=False)]
-        right = [piece(a + shift, b + shift) for a, b in zip(at, at[1:], strict=False)]
-        keys += [F.xxhash64(q, F.lit(j), *left[:j], *right[j + 1 :]) for j in range(PARTS)]
-    return F.array(*keys)
+def with_keys(lines: DataFrame, min_chars: int) -> DataFrame:
+    """lines with ``keys``: hashes of all but one part, the line as the shorter of two (one for each part), then as the longer; null for short lines.
+
+    Lengths, cuts and hashes of parts are columns of their own, so each is computed once. Parts
+    are cut from UTF-32, where a character's place is known without a walk.
+    """
+    columns, n = lines.columns, F.col("n")
+    ends = {f"{kind}{j}": x for kind, q in (("short", n), ("long", n - 1)) for j, x in enumerate(bounds(q))}
+    wide = lines.withColumn("wide", F.encode("line", "UTF-32"))
+    cut = wide.withColumn("n", (F.octet_length("wide") / 4).cast("int")).withColumns(ends)
+
+    def part(kind: str, j: int, shift: int) -> Column:
+        a, b = F.col(f"{kind}{j}"), F.col(f"{kind}{j + 1}")
+        return F.xxhash64(F.substring("wide", (a + shift) * 4 + 1, (b - a) * 4))
+
+    # Behind the edit, the longer line's characters are one further.
+    parts = {f"p{j}": part("short", j, 0) for j in range(PARTS)}
+    parts |= {f"l{j}": part("long", j, 0) for j in range(PARTS - 1)} | {f"r{j}": part("long", j, 1) for j in range(1, PARTS)}
+    short = [F.xxhash64(n, F.lit(j), *[f"p{i}" for i in range(PARTS) if i != j]) for j in range(PARTS)]
+    long = [F.xxhash64(n - 1, F.lit(j), *[f"l{i}" for i in range(j)], *[f"r{i}" for i in range(j + 1, PARTS)]) for j in range(PARTS)]
+    return cut.withColumns(parts).select(*columns, F.when(n >= min_chars, F.array(*short, *long)).alias("keys"))
 
 
 def spans(flags: Column, n: Column) -> Column:
@@ -127,9 +143,7 @@ def variants(rows: DataFrame) -> DataFrame:
 
 def distinct_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id") -> DataFrame:
     """h1, h2, first (id, tie, pos of the first occurrence), n (occurrences), keys (null for short lines)."""
-    lines = lines_of(docs, id_col)
-    keys = F.when(F.length("line") >= min_chars, part_keys(F.col("line")))
-    keyed = lines.select("h1", "h2", F.struct("id", "tie", "pos").alias("at"), keys.alias("keys"))
+    keyed = with_keys(lines_of(docs, id_col).select("h1", "h2", F.struct("id", "tie", "pos").alias("at"), "line"), min_chars)
     return keyed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.any_value("keys").alias("keys"))
 
 
@@ -153,7 +167,7 @@ def able_lines(docs: DataFrame, distinct: DataFrame, id_col: str = "doc_id") ->
     asked = held.groupBy(F.col("first.id").alias("id"), F.col("first.tie").alias("tie")).agg(F.collect_list(F.struct("h1", "h2", "first", "flags")).alias("lines"))
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("tie"), "text")
     found = joined(own, asked, ["id", "tie"], "inner", held).select(F.split("text", "\n", -1).alias("cut"), F.explode("lines").alias("l"))
-    found = found.select("l.*", F.btrim(F.element_at("cut", F.col("l.first.pos") + 1), F.lit(" \t\r")).alias("line"))
+    found = found.select("l.*", trimmed(F.element_at("cut", F.col("l.first.pos") + 1)).alias("line"))
     # Repeated rows of a document give its lines again.
     return found.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max("flags").alias("flags"), F.min("line").alias("line"))
 
