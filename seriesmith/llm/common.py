@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Rows up to which the right side of a join is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
@@ -38,6 +39,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with ``place``, its rows' numbers from 0 in the order given; no task sees more than its range of rows."""
+    held = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    held = stage(held, name)
+    part = F.shiftright("at", 33)  # the id's high bits are the partition
+    sizes = held.groupBy(part.alias("part")).agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.orderBy("part")) - F.col("rows")
+    # One row for each partition.
+    starts = F.broadcast(sizes.select("part", before.alias("before")))
+    return held.join(starts, part == F.col("part")).withColumn("place", F.col("before") + F.col("at").bitwiseAND(F.lit(2**33 - 1))).drop("at", "part", "before")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

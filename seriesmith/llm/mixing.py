@@ -1,30 +1,36 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 A source's target is its weighted share of all words, at most ``repeats`` times its own
-words; the excess is shared anew by weight until no source is above. Whole passes over a
-source come first; the rest of its target is drawn without replacement. For that a
-source's words lie in cells (a cell is one output shard's part of a source, by the hash of
-the row), and a binary tree splits the source's quota of word blocks among its cells: at
-each node the left half's part is hypergeometric, so the quotas are exact and distributed
-as if blocks had been drawn from the whole source. Each cell then draws its quota from
-documents in a permuted order, so draws are disjoint, and the last document drawn gives
-only the words that are still missing. A shard shuffles its rows locally. Cells hold about
-``CELL_ROWS`` rows, however large a source is; nothing but counts per cell and source is
-gathered.
-
-The generator is seeded by source and tree node, so reruns agree. Where a node holds more
-words than exact sampling takes (10^9), the split is the rounded normal approximation
-within the exact bounds; quotas stay exact.
+words; the excess is shared anew by weight until no source is above. A source's words lie
+in a row, its documents in a permuted order, and that row is repeated: the mix takes
+the first ``target`` words of it, so whole passes come first and the rest of the target is
+drawn without replacement.
+
+The taken words of all sources are dealt to output shards of equal size by a binary tree
+over the shards: at each node the words of each source that go to the left half are drawn
+by the multivariate hypergeometric distribution (one exact hypergeometric draw a source,
+given those before), so the quotas are exact and distributed as if all words had been
+shuffled and cut. A shard's quotas of a source are a stretch of its permuted row, so shards
+draw disjoint blocks; a block is a document, which goes whole to the shard in which it
+starts. Only a source's last document is cut, at the end of its last word that is taken. A
+shard shuffles its documents locally.
+
+Row sums are taken in two steps: a source's rows are cut into cells of about ``CELL_ROWS``
+rows by hash, sums are taken in cells and over the cells of a source. A task of the tree
+holds the quotas of one node: a number for each source. All draws are seeded by source and
+node, so reruns agree, and they are the same distribution at any size.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in
-order; rows of size 0 take nothing; repeated rows are told apart by their order and each
-may be taken; an empty table gives an empty result.
+order; rows of size 0 take nothing; repeated rows are told apart by a number given before
+planning, and each may be taken; texts of any length are counted whole; an empty table
+gives an empty result; other columns are carried along whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from math import ceil, sqrt
 from typing import Any
 
 import numpy as np
@@ -33,145 +39,202 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage, text_or_empty
+from .common import from_row, in_row, joined, numbered, stage
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
-CELL_ROWS = 2_000
-EXACT_LIMIT = 10**9
-WORD = r"[^\x20\x09-\x0D]+"
+CELL_ROWS = 20_000
+#: Output shards: at least so many, and more where one would hold more words than this.
+LEAST_SHARDS = 256
+SHARD_WORDS = 1 << 27
+#: Levels of the tree that the first task of it goes through; subtrees below are tasks of their own.
+TOP_LEVELS = 5
+SPACE = r"\x20\x09-\x0D"
 
 
-def word_count(text: str = "text") -> Column:
-    return F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
+def word_count(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^{SPACE}]+")).cast("long")
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, as it is."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"([{SPACE}]*[^{SPACE}]+)")), F.lit(1), n.cast("int")), "")
+
+
+# --- targets -------------------------------------------------------------------------
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """sizes (source, source_size: one row per source) with ``target``, by water filling.
+    """sizes (source, source_size: one row per source) with ``place`` (by code point, null last) and ``target``, by water filling.
 
-    A source is at its cap if the common level times its weight exceeds the cap. In the
-    order of cap / weight those come first, so the level after the first k are capped is
-    (all - their caps) / (weights of the rest), and the first k at which the next stays
-    under its cap holds.
+    The common level times a source's weight is its target, or its cap if that is less. From
+    the level at which no cap counts, the level rises as caps come to count, until no more do.
     """
-    by_point = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
-    ordered = sizes.withColumn("__i", F.row_number().over(by_point) - 1)
+    ordered = numbered(sizes, [F.col("source").isNull(), F.col("source")], "mix-order")
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    weighted = ordered.withColumn("__w", F.element_at(cycle, (F.col("__i") % len(weights) + 1).cast("int"))).withColumn("__cap", (F.col("source_size") * repeats).cast("double"))
-    by_ratio = Window.orderBy(F.col("__cap") / F.col("__w"), "__i")
-    everything = Window.partitionBy()
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    free = F.sum("__w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("__cap").over(before), F.lit(0.0))) / free
-    # The level grows as long as sources are capped; it is the level of the first that is not.
-    leveled = weighted.withColumn("__level", level).withColumn("__open", F.col("__level") * F.col("__w") <= F.col("__cap"))
-    final = F.min(F.when(F.col("__open"), F.struct(F.col("__cap") / F.col("__w"), "__i", "__level"))).over(everything)["__level"]
-    target = F.when(F.col("__open"), F.coalesce(final, F.col("__level")) * F.col("__w")).otherwise(F.col("__cap"))
-    return leveled.withColumn("target", target).select("source", "source_size", "target")
-
-
-def seed_of(*parts: object) -> int:
-    return int.from_bytes(hashlib.sha256("\x1f".join(map(str, parts)).encode()).digest()[:8], "little")
-
-
-def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    if good + bad < EXACT_LIMIT:
-        return int(rng.hypergeometric(good, bad, draws))
+    ready = ordered.withColumn("w", F.element_at(cycle, (F.col("place") % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * float(repeats))
+    ready = stage(ready, "mix-caps")
+    level, before = -1.0, -1
+    while True:  # each round caps another source or ends
+        capped = F.col("cap") < F.lit(level) * F.col("w")
+        r = ready.agg(F.sum("source_size").alias("all"), F.count_if(capped).alias("n"), F.sum(F.when(capped, F.col("cap"))).alias("taken"), F.sum(F.when(~capped, F.col("w"))).alias("w")).first()
+        if r["n"] == before or not r["w"]:
+            break
+        level, before = ((r["all"] or 0) - (r["taken"] or 0.0)) / r["w"], r["n"]
+    return ready.select("place", "source", "source_size", F.least(F.col("cap"), F.lit(level) * F.col("w")).alias("target"))
+
+
+# --- the tree ------------------------------------------------------------------------
+
+
+def uniform(*parts: object) -> float:
+    digest = hashlib.sha256("\x1f".join(map(str, parts)).encode()).digest()
+    return (int.from_bytes(digest[:7], "little") >> 3) / 2**53
+
+
+def hypergeometric(u: float, good: int, bad: int, draws: int) -> int:
+    """The draw at the quantile u: how many of ``draws`` taken from good + bad are good.
+
+    Weights relative to the mode's come from the exact ratios of neighbours, over all values
+    or, where those are many, all within 9 standard deviations, beyond which less is left
+    than a double can tell from nothing.
+    """
+    lo, hi = max(0, draws - bad), min(draws, good)
+    if lo >= hi:
+        return lo
     n = good + bad
-    mean = draws * good / n
-    sd = (mean * (bad / n) * ((n - draws) / max(1, n - 1))) ** 0.5
-    return min(max(round(mean + sd * rng.standard_normal()), draws - bad, 0), draws, good)
+    mode = min(max((draws + 1) * (good + 1) // (n + 2), lo), hi)
+    reach = ceil(9 * sqrt(draws * (good / n) * (bad / n) * ((n - draws) / max(1, n - 1)))) + 12
+    lo, hi = max(lo, mode - reach), min(hi, mode + reach)
+    k = np.arange(hi - lo, dtype=np.float64)  # ratio of lo + k + 1 to lo + k
+    with np.errstate(divide="ignore"):
+        logs = np.log(float(good - lo) - k)
+        logs += np.log(float(draws - lo) - k)
+        logs -= np.log(k + float(lo + 1))
+        logs -= np.log(k + float(bad - draws + lo + 1))
+    logs = np.concatenate([[0.0], np.cumsum(logs, out=logs)])
+    logs -= logs.max()
+    total = np.cumsum(np.exp(logs, out=logs), out=logs)
+    return lo + min(int(np.searchsorted(total, u * total[-1], side="right")), hi - lo)
+
+
+def split(quotas: Sequence[int], part: int, *seed: object) -> list[int]:
+    """How many of ``part`` items drawn from all quotas are each source's."""
+    out, rest = [], sum(quotas)
+    for i, q in enumerate(quotas):
+        rest -= q
+        x = hypergeometric(uniform(*seed, i), q, rest, part)
+        out.append(x)
+        part -= x
+    return out
 
 
-def split_quota(words: Sequence[int], quota: int, *seed: object) -> list[int]:
-    """The quota of each cell; a node of the tree is a span of cells."""
-    out = [0] * len(words)
-    before = np.concatenate([[0], np.cumsum(np.array(words, dtype=object))])
-    todo = [(0, len(words), quota)]
+def deal(quotas: Sequence[int], lo: int, hi: int, levels: int, seed: int) -> list[tuple[int, int, list[int]]]:
+    """Nodes (lo, hi, quotas) of the shards lo to hi after so many levels of the tree, or fewer at single shards."""
+    todo, out = [(lo, hi, list(quotas), levels)], []
     while todo:
-        lo, hi, q = todo.pop()
-        if q == 0 or hi == lo:
+        a, b, q, left = todo.pop()
+        if b - a == 1 or not left:
+            out.append((a, b, q))
             continue
-        if hi - lo == 1:
-            out[lo] = q
-            continue
-        mid = (lo + hi) // 2
-        left, right = int(before[mid] - before[lo]), int(before[hi] - before[mid])
-        part = hypergeometric(np.random.default_rng(seed_of(*seed, lo, hi)), left, right, q)
-        todo += [(lo, mid, part), (mid, hi, q - part)]
-    return out
+        mid = (a + b) // 2
+        mine = split(q, sum(q) * (mid - a) // (b - a), seed, a, b)
+        todo += [(a, mid, mine, left - 1), (mid, b, [x - y for x, y in zip(q, mine, strict=True)], left - 1)]
+    return sorted(out)
 
 
-def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, seed: int = 0, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Per row of docs: doc_id, __tie, source, size, source_size, target, taken, cell, place.
+def shard_quotas(sources: DataFrame, shards: int, seed: int) -> DataFrame:
+    """sources (place, words) -> place, shard, lo, hi: the stretch of the source's words that a shard takes."""
 
-    taken: words of the row that the mix takes, repeats counted; place: the row's place in
-    its cell's permuted order.
-    """
-    tie = F.xxhash64(text_or_empty())
-    sized = docs.select("doc_id", "source", tie.alias("__tie"), word_count().alias("size"))
-    sized = stage(sized, "mix-sizes")  # texts are read once
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count("*") / cell_rows).cast("int").alias("__cells"))
-    per_source = stage(per_source, "mix-sources")
-    targets = source_targets(per_source.select("source", "source_size"), weights, repeats)
-    passes = F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0).cast("long")
-    planned = targets.withColumn("__passes", passes).withColumn("__rest", (F.round("target").cast("long") - F.col("__passes") * F.col("source_size")))
-    planned = planned.join(per_source.select(F.col("source").alias("__s"), "__cells"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    planned = stage(planned, "mix-targets")
-    # One row per source; a plain equi-join on a filled key, so that Spark can deal out a large source.
-    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
-    sources = planned.withColumn("__key", key).drop("source")
-    mixed = F.xxhash64("doc_id", "__tie", F.lit(seed))
-    rows = sized.withColumn("__key", key).join(sources, "__key").withColumn("cell", F.pmod(mixed, F.col("__cells")).cast("int"))
-    cells = rows.groupBy("__key", "cell").agg(F.sum("size").alias("words"), F.first("__rest").alias("rest"))
+    def step(levels: int):
+        def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("place")
+            nodes = deal([int(x) for x in pdf["words"]], int(key[0]), int(key[1]), levels, seed)
+            parts = [pd.DataFrame({"a": a, "b": b, "place": pdf["place"].to_numpy(), "words": np.array(q, dtype=np.int64)}) for a, b, q in nodes]
+            return pd.concat(parts, ignore_index=True)
 
-    def quotas(k: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cell")
-        got = split_quota([int(w) for w in pdf["words"]], int(pdf["rest"].iloc[0]), seed, k[0])
-        return pd.DataFrame({"__key": k[0], "cell": pdf["cell"], "quota": got})
+        return run
 
-    # A group here is one source's cells: a row for every CELL_ROWS documents.
-    dealt = cells.groupBy("__key").applyInPandas(quotas, "__key string, cell int, quota long")
-    permuted = Window.partitionBy("__key", "cell").orderBy(F.xxhash64("doc_id", "__tie", F.lit(seed + 1)), "doc_id", "__tie")
-    before = F.coalesce(F.sum("size").over(permuted.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    drawn = rows.join(dealt, ["__key", "cell"]).withColumn("place", F.row_number().over(permuted)).withColumn("__before", before)
-    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - F.col("__before")))
-    return drawn.withColumn("taken", F.col("__passes") * F.col("size") + extra).select("doc_id", "__tie", "source", "size", "source_size", "target", "taken", "cell", "place")
+    schema = "a int, b int, place long, words long"
+    nodes = sources.select(F.lit(0).alias("a"), F.lit(shards).alias("b"), "place", "words").groupBy("a", "b").applyInPandas(step(TOP_LEVELS), schema)
+    if shards > 1 << TOP_LEVELS:
+        nodes = nodes.groupBy("a", "b").applyInPandas(step(64), schema)
+    before = F.sum("words").over(Window.partitionBy("place").orderBy("a"))
+    return nodes.select("place", F.col("a").alias("shard"), (before - F.col("words")).alias("lo"), before.alias("hi")).where("hi > lo")
 
 
-def first_words(text: Column, n: Column) -> Column:
-    """The text up to the end of its n-th word."""
-    return F.concat_ws(" ", F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), F.lit(1), n.cast("int")))
+# --- the plan ------------------------------------------------------------------------
+
 
+def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, seed: int = 0, cell_rows: int = CELL_ROWS, shards: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """rows (n: a number of its own, doc_id, tie, source, size) of a written table -> planned rows, and their copies.
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, seed: int = 0) -> DataFrame:
+    planned: rows with source_size, target and taken (words, repeats counted); copies: n,
+    copy (from 0), words of it, and the shard that gets it.
+    """
+    counts = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    counts = stage(counts, "mix-sources")
+    targets = source_targets(counts.select("source", "source_size"), weights, repeats)
+    targets = targets.join(counts.select(F.col("source").alias("s"), F.ceil(F.col("rows") / cell_rows).cast("int").alias("cells")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    # A plain key, so that Spark can deal out a large source.
+    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+    targets = stage(targets.withColumn("key", key).withColumn("words", F.round("target").cast("long")), "mix-targets")
+    told = joined(rows.withColumn("key", key), targets.drop("source"), ["key"], "inner", targets).drop("key")
+    told = told.withColumn("cell", F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed)), F.col("cells")).cast("int"))
+    # One row for every cell_rows rows of a source.
+    cells = told.groupBy("place", "cell").agg(F.sum("size").alias("own"))
+    of_cell = F.sum("own").over(Window.partitionBy("place").orderBy("cell")) - F.col("own")
+    cells = stage(cells.select("place", "cell", of_cell.alias("start")), "mix-cells")
+    permuted = Window.partitionBy("place", "cell").orderBy(F.xxhash64("doc_id", "tie", F.lit(seed + 1)), "n")
+    inside = F.sum("size").over(permuted) - F.col("size")
+    placed = joined(told.withColumn("inside", inside), cells, ["place", "cell"], "inner").withColumn("start", F.col("start") + F.col("inside"))
+    # Whole passes, and what the last pass reaches.
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0).cast("long")
+    rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - passes * F.col("source_size") - F.col("start")))
+    planned = stage(placed.withColumn("taken", passes * F.col("size") + rest).select("n", "doc_id", "source", "size", "source_size", "target", "taken", "place", "start"), "mix-planned")
+    if shards is None:
+        shards = max(LEAST_SHARDS, ceil((targets.agg(F.sum("words")).first()[0] or 0) / SHARD_WORDS))
+    stretches = shard_quotas(targets.select("place", "words"), shards, seed)
+    # Stretches meet the rows by buckets of about a stretch's length, so a row meets few of them.
+    wide = F.greatest(F.lit(1), F.ceil(F.col("words") / shards)).cast("long")
+    width = targets.select("place", wide.alias("width"))
+    spread = stretches.join(width, "place")
+    spread = spread.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / F.col("width")), F.floor((F.col("hi") - 1) / F.col("width"))))).drop("width")
+    spread = stage(spread, "mix-stretches")
+    each = planned.where("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("taken") / F.col("size")) - 1).cast("int"))))
+    each = each.withColumn("at", F.col("copy") * F.col("source_size") + F.col("start"))
+    each = joined(each, width, ["place"], "inner", targets).withColumn("bucket", F.floor(F.col("at") / F.col("width")))
+    met = joined(each, spread, ["place", "bucket"], "inner").where("lo <= at AND at < hi")
+    words = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
+    return planned, met.select("n", "copy", words.alias("words"), "shard")
+
+
+def digest(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, seed: int = 0, cell_rows: int = CELL_ROWS, shards: int | None = None) -> DataFrame:
+    """Per row of docs: doc_id, source, size, source_size, target, taken, shards (of its copies, comma-joined)."""
+    text = F.col("text")
+    rows = docs.select(F.monotonically_increasing_id().alias("n"), "doc_id", F.xxhash64("text").alias("tie"), "source", word_count(text).alias("size"))
+    planned, copies = plan(stage(rows, "mix-sizes"), weights, repeats, seed, cell_rows, shards)  # texts are read once
+    at = F.array_sort(F.collect_list(F.struct("copy", "shard")))
+    of = copies.groupBy("n").agg(F.array_join(F.transform(at, lambda x: x["shard"].cast("string")), ",").alias("shards"))
+    return planned.join(of, "n", "left").select("doc_id", "source", "size", "source_size", "target", "taken", F.coalesce("shards", F.lit("")).alias("shards"))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, seed: int = 0, cell_rows: int = CELL_ROWS, shards: int | None = None) -> DataFrame:
     """The mixed corpus: docs' columns, a row for each time a document is taken, its text cut where only part is taken.
 
-    Rows come in their shard's local order: sorted within partitions by a permutation of
-    (document, repeat).
+    Rows are partitioned by shard and lie in their shard's local order, a permutation of its
+    documents.
     """
-    columns = docs.columns
-    takes = plan(docs, weights, repeats, seed).where("taken > 0").select(F.col("doc_id").alias("__id"), "__tie", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    takes = stage(takes, "mix-plan")
-    rows = docs.withColumn("__id2", F.col("doc_id")).withColumn("__tie2", F.xxhash64(text_or_empty()))
-    same = F.col("__id2").eqNullSafe(F.col("__id")) & (F.col("__tie2") == F.col("__tie"))
-    if takes.groupBy("__id", "__tie").count().where("count > 1").limit(1).count():
-        # Repeated rows have one plan each; they are numbered so that each meets its own.
-        takes = takes.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__tie").orderBy(F.desc("__taken"))))
-        rows = rows.withColumn("__n2", F.row_number().over(Window.partitionBy("__id2", "__tie2").orderBy(F.lit(1))))
-        same = same & (F.col("__n2") == F.col("__n"))
-    taken = rows.join(takes, same)
-    times = F.ceil(F.col("__taken") / F.col("__size")).cast("int")
-    each = taken.withColumn("__repeat", F.explode(F.sequence(F.lit(1), times)))
-    left = F.col("__taken") - (F.col("__repeat") - 1) * F.col("__size")
-    text = F.when(left < F.col("__size"), first_words(F.col("text"), left)).otherwise(F.col("text"))
-    each = each.withColumn("__text", text).withColumn("__order", F.xxhash64("__id", "__tie", "__repeat", F.lit(seed + 2)))
-    out = []
-    for c in columns:
-        if c == "text":
-            out.append(F.col("__text").alias("text"))
-        elif c == "n_chars":
-            out.append(F.when(F.col("__text") == F.col("text"), F.col("n_chars")).otherwise(F.length("__text")).cast(docs.schema[c].dataType).alias(c))
-        else:
-            out.append(F.col(f"`{c}`").alias(c))
-    return each.select(*out, "__order").sortWithinPartitions("__order").drop("__order")
+    columns, kinds = docs.columns, docs.schema
+    # Numbered once and written, so every row meets its own plan.
+    whole = in_row(docs).select(F.monotonically_increasing_id().alias("n"), "row", word_count(F.col("row.text")).alias("size"))
+    whole = stage(whole, "mix-rows")
+    rows = whole.select("n", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("tie"), F.col("row.source").alias("source"), "size")
+    _, copies = plan(rows, weights, repeats, seed, cell_rows, shards)
+    each = whole.join(copies, "n").withColumn("order", F.xxhash64("n", "copy", F.lit(seed + 2)))
+    each = each.withColumn("cut", F.when(F.col("words") < F.col("size"), first_words(F.col("row.text"), F.col("words"))))
+    each = each.repartition("shard").sortWithinPartitions("shard", "order", "n", "copy")
+    changed = {"text": F.coalesce("cut", "row.text").cast(kinds["text"].dataType)}
+    if "n_chars" in columns:
+        changed["n_chars"] = F.when(F.col("cut").isNull(), F.col("row.n_chars")).otherwise(F.length("cut")).cast(kinds["n_chars"].dataType)
+    return each.select(*[changed[c].alias(c) if c in changed else own for c, own in zip(columns, from_row(columns), strict=True)])

@@ -54,8 +54,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan(table(spark, sf_dir, "documents"))
-    return planned.select("doc_id", "size", "source_size", "target", "taken", F.col("cell").alias("shard"), F.col("place").cast("long").alias("place"))
+    mixed = mixing.digest(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -285,42 +285,99 @@ def fill(sizes, weights):
     return target
 
 
-def test_mixing_targets_and_draws(spark):
-    rng = random.Random(8)
+def source_texts(seed=8, n=600):
+    rng = random.Random(seed)
     names = ["b", "a", "Z", "é", None, "c", ""]
-    texts, sources = [], []
-    for i in range(600):
-        texts.append(" ".join("w" for _ in range(rng.randrange(0, 40))) if i % 50 else None)
-        sources.append(names[min(int(rng.expovariate(0.7)), 6)])
-    df = docs(spark, texts, sources).withColumn("size", F.lit("clash"))
-    got = mixing.plan(df, cell_rows=50).collect()
+    texts = [" ".join(f"w{rng.randrange(9)}" for _ in range(rng.randrange(0, 40))) if i % 50 else None for i in range(n)]
+    return texts, [names[min(int(rng.expovariate(0.7)), 6)] for _ in range(n)]
+
+
+def test_mixing_targets_and_draws(spark):
+    texts, sources = source_texts()
+    df = docs(spark, texts, sources).withColumn("size", F.lit("clash")).withColumn("n", F.lit("clash"))
+    got = mixing.digest(df, cell_rows=50, shards=8).collect()
     order = sorted({s for s in sources if s is not None}) + [None]
     sizes = [sum(len((t or "").split()) for t, s in zip(texts, sources, strict=True) if s == o) for o in order]
     want = dict(zip(order, fill(sizes, [(5, 2, 1)[i % 3] for i in range(len(order))]), strict=True))
-    taken = Counter()
+    taken, dealt = Counter(), Counter()
     for r in got:
         assert r["target"] == pytest.approx(want[r["source"]]) and 0 <= r["taken"] <= 3 * r["size"]
         taken[r["source"]] += r["taken"]
-    assert len(got) == 600 and all(abs(taken[o] - want[o]) <= 1 for o in order)
-    again = mixing.plan(df.repartition(7), cell_rows=50).collect()
+        copies = [int(x) for x in r["shards"].split(",") if x]
+        assert len(copies) == (-(-r["taken"] // r["size"]) if r["size"] else 0)
+        left = r["taken"]
+        for k in copies:
+            dealt[k, r["source"]] += min(left, r["size"])
+            left -= r["size"]
+    assert len(got) == 600 and all(abs(taken[o] - want[o]) <= 0.5 for o in order)
+    # Every shard mixes the large sources, and all shards are alike in size but for a document of each source.
+    of_shard = [sum(n for (k, _), n in dealt.items() if k == i) for i in range(8)]
+    assert max(of_shard) - min(of_shard) <= 2 * 40 * len(order)
+    assert all(dealt[i, o] for i in range(8) for o in order if want[o] > 2000)
+    again = mixing.digest(df.repartition(7), cell_rows=50, shards=8).collect()
     assert sorted((r["doc_id"], r["taken"]) for r in got) == sorted((r["doc_id"], r["taken"]) for r in again)
-    mixed = mixing.mix(docs(spark, texts, sources).union(docs(spark, texts, sources).where("doc_id < 3")))
-    assert mixed.columns == docs(spark, texts).columns
-    words = sum(len(r["text"].split()) for r in mixed.collect())
-    repeated = sum(len((t or "").split()) for t in texts[:3])
-    assert abs(words - sum(sizes) - repeated) <= len(order)
-    assert mixing.plan(df.limit(0)).count() == 0 and mixing.mix(docs(spark, texts).limit(0)).count() == 0
-
-
-def test_split_quota_is_exact():
+    assert mixing.digest(df.limit(0)).count() == 0 and mixing.mix(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_mixed_rows_follow_the_plan(spark):
+    texts, sources = source_texts(9)
+    space = re.compile("[ \t-\r]+")
+    texts = [t and t.replace(" w1", "\n\tw1") for t in texts]
+    # Rows of equal id and text in several sources, and rows that repeat.
+    base = docs(spark, texts, sources)
+    both = base.union(base.where("doc_id % 3 = 0").withColumn("source", F.lit("a"))).union(base.where("doc_id % 7 = 0").withColumn("source", F.lit("twin")))
+    both = both.union(base.where("doc_id < 30")).withColumn("n", F.lit("clash")).withColumn("row", F.lit(7)).withColumn("__id", F.lit("x"))
+    plan = mixing.digest(both, cell_rows=40, shards=8).collect()
+    planned, got = Counter(), Counter()
+    for r in plan:
+        planned[r["source"]] += r["taken"]
+    mixed = mixing.mix(both, cell_rows=40, shards=8)
+    assert mixed.columns == both.columns
+    cut, held = 0, Counter((r["doc_id"], r["text"], r["source"]) for r in both.collect())
+    for r in mixed.collect():
+        assert (r["n"], r["row"], r["__id"]) == ("clash", 7, "x") and r["n_chars"] == len(r["text"])
+        got[r["source"]] += len([w for w in space.split(r["text"]) if w])
+        whole = texts[r["doc_id"]]
+        assert whole.startswith(r["text"]) and (whole == r["text"] or not r["text"][-1].isspace())
+        cut += whole != r["text"]
+        held[r["doc_id"], r["text"], r["source"]] += 0
+    assert got == planned and 0 < cut <= len(planned)
+    # Shards lie one after the other, each in an order of its own.
+    where = mixed.select(F.spark_partition_id().alias("p"), "doc_id").collect()
+    assert [r["doc_id"] for r in where] != sorted(r["doc_id"] for r in where)
+
+
+def test_hypergeometric_draws_are_exact():
+    from math import comb
+
+    for good, bad, draws in [(5, 9, 6), (30, 4, 20), (1, 1, 1), (60, 60, 50)]:
+        weights = [comb(good, k) * comb(bad, draws - k) for k in range(min(good, draws) + 1) if draws - k <= bad]
+        first, total, below = max(0, draws - bad), comb(good + bad, draws), 0
+        for k, w in enumerate(weights):
+            for u in (below / total + 1e-9, (below + w) / total - 1e-9):
+                if below / total < u < (below + w) / total:
+                    assert mixing.hypergeometric(u, good, bad, draws) == first + k
+            below += w
+    # Far beyond what exact integers can count out: the mean and the quantiles of the normal curve it comes near to.
+    n = 4 * 10**10
+    sd = (n / 2 * 0.25 * 0.5) ** 0.5
+    at = [mixing.hypergeometric(u, n // 4, 3 * n // 4, n // 2) - n // 8 for u in (0.0013499, 0.158655, 0.5, 0.841345, 0.9986501)]
+    assert np.allclose(np.array(at) / (sd * 0.75**0.5), [-3, -1, 0, 1, 3], atol=1e-3)
+
+
+def test_tree_of_quotas_is_exact():
     rng = random.Random(1)
-    for _ in range(50):
-        words = [rng.randrange(0, 50) for _ in range(rng.randrange(1, 40))]
-        quota = rng.randrange(0, sum(words) + 1)
-        out = mixing.split_quota(words, quota, "s")
-        assert sum(out) == quota and all(0 <= q <= w for q, w in zip(out, words, strict=True))
-    big = mixing.split_quota([10**12, 3 * 10**12], 2 * 10**12, 1)
-    assert sum(big) == 2 * 10**12 and abs(big[0] - 5 * 10**11) < 10**8
+    for i in range(20):
+        words = [rng.randrange(0, 5000) for _ in range(rng.randrange(1, 9))]
+        shards = rng.randrange(1, 40)
+        nodes = mixing.deal(words, 0, shards, 64, i)
+        assert [(a, b) for a, b, _ in nodes] == [(k, k + 1) for k in range(shards)]
+        assert [sum(q[j] for _, _, q in nodes) for j in range(len(words))] == words
+        sizes = [sum(q) for _, _, q in nodes]
+        assert max(sizes) - min(sizes) <= 7 and min(min(q) for _, _, q in nodes) >= 0
+        # The same in two steps.
+        halves = [x for a, b, q in mixing.deal(words, 0, shards, 2, i) for x in mixing.deal(q, a, b, 64, i)]
+        assert sorted(halves) == nodes
 
 
 # Chat formatting
