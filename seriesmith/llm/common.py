@@ -64,9 +64,14 @@ def utf8(name: str = "text") -> Column:
     return F.encode(text_or_empty(name), "UTF-8")
 
 
-def in_row(df: DataFrame) -> DataFrame:
-    """df's columns as fields of one column ``row``, so that no name of theirs meets one of an operator's."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+def in_row(df: DataFrame, keep: list[str] | None = None, **more: Column) -> DataFrame:
+    """df's columns (or those of keep) as fields of one column ``row``, so that no name of theirs meets one of an operator's; more: columns beside it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]).alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
+def others(columns: list[str], added: list[str]) -> list[str]:
+    """The columns that added ones do not replace; Spark's names know no case."""
+    return [c for c in columns if c.lower() not in added]
 
 
 def from_row(columns: list[str], row: str = "row") -> list[Column]:

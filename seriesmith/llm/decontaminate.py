@@ -2,32 +2,39 @@
 
 Words are maximal runs of ASCII letters, digits and non-ASCII characters, with A-Z
 lower-cased. An item's windows are its runs of ``width`` consecutive words; an item with
-fewer words is one window. The windows are hashed into a set that is broadcast if it is
-within ``MAX_WINDOWS``; a larger benchmark is cut into as many parts, which are scanned for
-one after the other. A document is scanned once per part: a position is looked at only if
-its word pair starts some window, hits of the hash are verified against the words
-themselves, and hit words are marked. Hit spans or whole documents can then be removed.
+fewer words is one window. The distinct windows are counted, and a benchmark of up to
+``MAX_WINDOWS`` of them is one hash set that is broadcast. A larger one is cut into parts by
+the windows' hashes; each part is broadcast, scanned for in a pass of its own, written and
+destroyed before the next is made, so one part is held at a time, and a document's hits of
+all passes are put together. A position is looked at only if its word pair starts some
+window, hits of the hash are verified against the words themselves, and hit words are
+marked. Hit spans or whole documents can then be removed.
 
 Defined results: a null text has no words; an item that is null or has no words has no
 windows; items without an id take no part; repeated items count once; a document hit by a
-window that several items hold counts each of them; empty tables give no hits.
+window that several items hold counts each of them; texts of any length are scanned whole;
+empty tables give no hits; other columns are carried along whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from math import ceil
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import utf8
+from .common import from_row, in_row, stage, utf8
 
 WIDTH = 8
-MAX_WINDOWS = 2_000_000
+#: Windows of a set; they take about 150 MB in each worker.
+MAX_WINDOWS = 200_000
 
 # Bytes of words, lower-cased; all others become spaces.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+SPAN = "array<struct<at:int,n:int>>"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -37,32 +44,24 @@ def words_of(text: bytes | None) -> list[bytes]:
 class Windows:
     """The hash set: windows by the hash of their words, behind a filter on their first two words."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], width: int = WIDTH):
-        self.width = width
-        self.starts: set[tuple[bytes, bytes] | bytes] = set()
-        self.lengths: set[int] = set()
-        self.items: dict[tuple[bytes, ...], frozenset[str]] = {}
-        found: dict[tuple[bytes, ...], set[str]] = {}
-        for item, text in items:
-            words = words_of(text)
-            for i in range(max(1, len(words) - width + 1) if words else 0):
-                found.setdefault(tuple(words[i : i + width]), set()).add(item)
-        for window, ids in found.items():
-            self.items[window] = frozenset(ids)
-            self.lengths.add(len(window))
-            self.starts.add(window[:2] if len(window) > 1 else window[0])
-        self.vocabulary = {w for window in self.items for w in window}
-        self.order = sorted(self.lengths)
-
-    def scan(self, text: bytes | None) -> tuple[int, np.ndarray, set[str]]:
-        """Words, which of them are hit, and the items that occur."""
-        words = words_of(text)
-        hit: np.ndarray | None = None
+    def __init__(self, rows: Iterable[tuple[bytes, str]]):
+        """rows: a window's words, separated by spaces, and an item that holds it."""
+        self.items: dict[tuple[bytes, ...], list[str]] = {}
+        words: dict[bytes, bytes] = {}  # one object for each word
+        for window, item in rows:
+            self.items.setdefault(tuple(words.setdefault(w, w) for w in window.split(b" ")), []).append(item)
+        self.vocabulary = set(words)
+        self.starts: set[tuple[bytes, bytes] | bytes] = {w[:2] if len(w) > 1 else w[0] for w in self.items}
+        self.order = sorted({len(w) for w in self.items})
+
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Places and lengths of the windows that occur, and their items."""
+        spans: list[tuple[int, int]] = []
         found: set[str] = set()
         if not self.vocabulary.isdisjoint(words):
-            starts, items, order, single = self.starts, self.items, self.order, 1 in self.lengths
+            starts, items, order = self.starts, self.items, self.order
             at = [i for i, pair in enumerate(zip(words, words[1:], strict=False)) if pair in starts]
-            if single:
+            if 1 in order:
                 at = sorted({*at, *(i for i, w in enumerate(words) if w in starts)})
             for i in at:
                 for n in order:
@@ -71,24 +70,35 @@ class Windows:
                         break
                     ids = items.get(window)  # the set compares hashes first and then the words
                     if ids:
-                        hit = np.zeros(len(words), dtype=bool) if hit is None else hit
-                        hit[i : i + n] = True
-                        found |= ids
-        return len(words), np.zeros(len(words), dtype=bool) if hit is None else hit, found
+                        spans.append((i, n))
+                        found.update(ids)
+        return spans, found
 
 
-def window_sets(benchmark: DataFrame, width: int, max_windows: int = MAX_WINDOWS) -> list[Windows]:
-    """One set, or several where the benchmark has more windows than one may hold."""
+def windows_of(benchmark: DataFrame, width: int) -> DataFrame:
+    """window (its words, separated by spaces), id: distinct."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            windows, ids = [], []
+            for item, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                words = words_of(text)
+                for i in range(max(1, len(words) - width + 1) if words else 0):
+                    windows.append(b" ".join(words[i : i + width]))
+                    ids.append(item)
+            yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.array(ids, pa.string())], names=["window", "id"])
+
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), utf8().alias("text")).where("id IS NOT NULL")
-    parts, part, held = [], [], 0
-    for r in items.orderBy("id", "text").toLocalIterator():
-        n = max(1, len(words_of(bytes(r["text"]))) - width + 1)
-        if part and held + n > max_windows:
-            parts.append(part)
-            part, held = [], 0
-        part.append((r["id"], bytes(r["text"])))
-        held += n
-    return [Windows(p, width) for p in [*parts, part]]
+    return items.mapInArrow(run, "window binary, id string").distinct()
+
+
+def hit_words(n: int, spans: Iterable[tuple[int, int]]) -> np.ndarray:
+    hit = np.zeros(n, dtype=bool)
+    for i, m in spans:
+        hit[i : i + m] = True
+    return hit
 
 
 def words_within(text: bytes, keep: np.ndarray) -> str:
@@ -112,35 +122,81 @@ def words_within(text: bytes, keep: np.ndarray) -> str:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, keep: list[str] | None = None, with_clean: bool = False, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """keep (default doc_id), n_words, n_hit, items; with_clean adds ``clean_text``, the text without its hit spans."""
-    keep = ["doc_id"] if keep is None else keep
-    sets = [docs.sparkSession.sparkContext.broadcast(w) for w in window_sets(benchmark, width, max_windows)]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    """row (the columns keep, default doc_id), n_words, n_hit, items; with_clean adds ``clean_text``, the text without its hit spans."""
+    spark = docs.sparkSession
+    windows = stage(windows_of(benchmark, width), "benchmark-windows")
+    count = windows.count()
+    rows = in_row(docs, ["doc_id"] if keep is None else keep, bytes=utf8())
+    added = [StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("items", ArrayType(StringType()))]
+    schema = StructType([rows.schema["row"], *added, *[StructField("clean_text", StringType())] * with_clean])
+
+    def told(batch, hits):
+        """A batch's results from each text's words, spans and items."""
+        import pyarrow as pa
+
+        n_words, n_hit, items, clean = [], [], [], []
+        for text, (words, spans, found) in zip(batch.column("bytes"), hits, strict=True):
+            hit = hit_words(len(words), spans)
+            n_words.append(len(words))
+            n_hit.append(int(hit.sum()))
+            items.append(sorted(set(found)))
+            if with_clean:
+                clean.append(words_within(text.as_py(), ~hit) if found else None)
+        columns = [batch.column("row"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([*columns, *[pa.array(clean, pa.string())] * with_clean], names=["row", "n_words", "n_hit", "items", *["clean_text"] * with_clean])
+
+    def part_of(which: Column | None):
+        part = windows if which is None else windows.where(which)
+        # At most about max_windows rows.
+        return spark.sparkContext.broadcast(Windows((bytes(r["window"]), r["id"]) for r in part.orderBy("window", "id").toLocalIterator()))
+
+    if count <= max_windows:
+        shared = part_of(None)
+
+        def run(batches) -> Iterator:
+            for b in batches:
+                words = [words_of(t) for t in b.column("bytes").to_pylist()]
+                yield told(b, [(w, *shared.value.find(w)) for w in words])
+
+        return rows.mapInArrow(run, schema)
+
+    # Parts of half the bound in the mean, so that chance does not take one beyond it.
+    parts = ceil(2 * count / max_windows)
+    rows = stage(rows.withColumn("n", F.monotonically_increasing_id()), "benchmark-rows")
+    passes = None
+    for p in range(parts):
+        one = part_of(F.pmod(F.xxhash64("window"), F.lit(parts)) == p)
+        found = stage(rows.select("n", "bytes").mapInArrow(finder(one), f"n long, spans {SPAN}, items array<string>"), f"benchmark-hits-{p}")
+        one.destroy()
+        passes = found if passes is None else passes.unionByName(found)
+    hits = passes.groupBy("n").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("found"))
+
+    def combine(batches) -> Iterator:
+        for b in batches:
+            texts, spans, items = (b.column(c).to_pylist() for c in ("bytes", "spans", "found"))
+            yield told(b, [(words_of(t), [(x["at"], x["n"]) for x in s or []], i or []) for t, s, i in zip(texts, spans, items, strict=True)])
+
+    return rows.join(hits, "n", "left").select("row", "bytes", "spans", "found").mapInArrow(combine, schema)
+
+
+def finder(part):
+    """A pass over n and bytes: the rows that a part's windows hit."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            n_words, n_hit, items, clean = [], [], [], []
-            for text in b.column("__bytes").to_pylist():
-                n, hit, found = 0, None, set()
-                for s in sets:  # the parts of a large benchmark one after the other
-                    n, more, ids = s.value.scan(text)
-                    hit, found = more if hit is None else hit | more, found | ids
-                n_words.append(n)
-                n_hit.append(int(hit.sum()))
-                items.append(sorted(found))
-                if with_clean:
-                    clean.append(words_within(text, ~hit) if found else None)
-            columns = [*(b.column(c) for c in keep), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))]
-            names = [*keep, "n_words", "n_hit", "items"]
-            if with_clean:
-                columns.append(pa.array(clean, pa.string()))
-                names.append("clean_text")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            n, all_spans, items = [], [], []
+            for row, text in zip(b.column("n").to_pylist(), b.column("bytes").to_pylist(), strict=True):
+                spans, found = part.value.find(words_of(text))
+                if found:
+                    n.append(row)
+                    all_spans.append([{"at": i, "n": m} for i, m in spans])
+                    items.append(sorted(found))
+            span = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(all_spans, span), pa.array(items, pa.list_(pa.string()))], names=["n", "spans", "items"])
 
-    schema = f"{kinds}, n_words long, n_hit long, items array<string>" + ", clean_text string" * with_clean
-    return docs.select(*[F.col(f"`{c}`") for c in keep], utf8().alias("__bytes")).mapInArrow(run, schema)
+    return run
 
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least_items: int = 2) -> DataFrame:
@@ -148,20 +204,19 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least_item
     found = scan(docs, benchmark, width)
     n_items = F.size("items")
     return found.select(
-        "doc_id", "n_words", "n_hit", n_items.cast("long").alias("n_items"),
+        "row.doc_id", "n_words", "n_hit", n_items.cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_items >= least_items).alias("contaminated"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """Documents in which a window of some item occurs go; the rest stays as it is."""
-    columns = docs.columns
-    found = scan(docs, benchmark, width, keep=columns)
-    return found.where(F.size("items") == 0).select(*[F.col(f"`{c}`") for c in columns])
+    found = scan(docs, benchmark, width, keep=docs.columns)
+    return found.where(F.size("items") == 0).select(*from_row(docs.columns))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """Every document stays; hit spans leave its text."""
     found = scan(docs, benchmark, width, keep=docs.columns, with_clean=True)
-    text = F.when(F.col("clean_text").isNotNull(), F.col("clean_text")).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.coalesce("clean_text", "row.text").alias("text")
+    return found.select(*[text if c == "text" else own for c, own in zip(docs.columns, from_row(docs.columns), strict=True)])

@@ -38,7 +38,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, in_row, joined, stage
+from .common import NULL_ID, from_row, in_row, joined, others, stage
 
 PARTS = 3
 BLOCK = 256
@@ -206,11 +206,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_
     lines = lines_of(docs, id_col).select("h1", "h2", F.struct("id", "tie", "pos").alias("at"))
     gone = joined(lines, doomed, ["h1", "h2"], "inner").where(F.col("near") | (F.col("at") > F.col("first")))
     gone = gone.groupBy("at.id", "at.tie").agg(F.collect_set("at.pos").alias("gone"))
-    own = in_row(docs).select("row", F.coalesce(F.col(f"row.`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("row.text").alias("tie"))
+    own = in_row(docs, id=F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), tie=F.xxhash64("text"))
     cut = own.join(gone, ["id", "tie"], "left").select("row", "gone", F.split("row.text", "\n", -1).alias("cut"))
     stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("cut") - 1), F.col("gone")), lambda i: F.element_at(F.col("cut"), i + 1))
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(stay, "\n"))
     n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size("cut")).cast("long")
     added = {"text": text, "n_lines": n_lines, "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
-    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in added]
+    kept = from_row(others(docs.columns, list(added)))
     return cut.select(*kept, *[c.alias(n) for n, c in added.items()])

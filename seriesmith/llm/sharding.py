@@ -7,9 +7,9 @@ row is placed by one hash and one lookup, without a shuffle. When a shard joins
 few slots change hands.
 
 Defined results: null key columns hash as a fixed marker, so rows with null keys share a
-shard; equal keys always share a shard; an empty frame gives an empty frame; any other
-columns are carried along, unless they are named like the two that are added, which
-replace them.
+shard; equal keys always share a shard; keys of any length count whole; an empty frame gives
+an empty frame; any other columns are carried along whatever their names, unless they are
+named like the two that are added, which replace them.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import from_row, in_row, others
+
 SHARDS = 32
 #: Prime, over a hundred slots a shard.
 TABLE_SIZE = 4099
@@ -59,11 +61,11 @@ def fill_table(names: list[str], size: int = TABLE_SIZE, turns: list[int] | None
     return owner
 
 
-def key_slot(keys: list[str], size: int, spread_by: list[str] | None = None, spread: int = 1) -> Column:
+def key_slot(keys: list[Column], size: int, spread_by: list[Column] | None = None, spread: int = 1) -> Column:
     """The slot of a row's key. spread > 1 deals each key over so many slots by the hash of spread_by."""
-    parts = [F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys]
+    parts = [F.coalesce(k.cast("string"), F.lit("\x00")) for k in keys]
     if spread > 1:
-        parts.append(F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(spread)).cast("string"))
+        parts.append(F.pmod(F.xxhash64(*spread_by), F.lit(spread)).cast("string"))
     digest = F.md5(F.concat_ws("\x1f", *parts).cast("binary"))
     return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(size)).cast("int")
 
@@ -85,16 +87,14 @@ def place(
     """df with ``slot`` and ``shard``. A key that holds too many rows for one shard can be spread."""
     names = [f"shard-{i}" for i in range(shards)] if isinstance(shards, int) else list(shards)
     owner = table_frame(df.sparkSession, fill_table(names, size, turns))
-    keyed = df.drop(*[c for c in ("slot", "shard") if c not in keys])
     if spread_by is None:
         spread_by = [c for c in df.columns if c not in keys]
-    keyed = keyed.withColumn("__slot", key_slot(keys, size, spread_by, spread))
-    placed = keyed.join(F.broadcast(owner.select(F.col("slot").alias("__slot"), F.col("shard").alias("__shard"))), "__slot")
-    kept = [F.col(f"`{c}`") for c in keyed.columns if c not in ("__slot", "slot", "shard")]
-    return placed.select(*kept, F.col("__slot").alias("slot"), F.col("__shard").alias("shard"))
+    keyed = in_row(df).withColumn("slot", key_slot(from_row(keys), size, from_row(spread_by), spread))
+    kept = from_row(others(df.columns, ["slot", "shard"]))
+    return keyed.join(F.broadcast(owner), "slot").select(*kept, "slot", "shard")
 
 
 def write_shards(placed: DataFrame, path: str, files_per_shard: int = 8) -> None:
     """Parquet under ``shard=N`` folders; each shard is written by several tasks, so a heavy shard is no bottleneck."""
-    salt = F.pmod(F.xxhash64(*placed.columns), F.lit(files_per_shard))
-    placed.withColumn("__salt", salt).repartition("shard", "__salt").drop("__salt").write.partitionBy("shard").parquet(path)
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in placed.columns]), F.lit(files_per_shard))
+    placed.repartition("shard", salt).write.partitionBy("shard").parquet(path)

@@ -1,15 +1,19 @@
 """Toxicity scores: gradient-boosted trees over dense features of a text, calibrated by isotonic regression.
 
-The model is fitted on a bounded sample of labelled rows (``max_rows``), in three disjoint
-folds chosen by the id's hash: word statistics for the learned lexicons, the trees, and the
-calibration. Features are densities only: no label, language, source or id is an input.
-Scoring reads every whole text in Arrow batches.
+The model is fitted on a bounded sample of labelled rows (``max_rows``, spread by the id's
+hash) with cross-fitting, alike at every size: the rows lie in ``FOLDS`` folds; a row's
+features use word statistics of the other folds, and the calibration sees each row's score
+by trees grown on the other folds. So neither lexicon nor calibration is learned from the
+rows that it is applied to, and all rows serve the final lexicon and trees. Features are
+densities and counts only: no label, language, source or id is an input. Scoring reads every
+whole text, of any length, in Arrow batches.
 
 Defined results: null and empty texts have all-zero features and get the score of such a
 text; repeated rows get equal scores; labels that are null, or of ids without a document,
-are ignored, and repeated labels count once, as toxic if any is; without any usable label
-of either kind the score falls back to the fixed lexicon alone; an empty table gives an
-empty result.
+are ignored, and repeated labels count once, as toxic if any is; where no usable label is
+toxic, or none is clean, there is nothing to learn and the score is by the fixed lexicon
+alone; a null id is not held out; an empty table gives an empty result; other columns are
+carried along whatever their names, but ``score`` and ``predicted`` are replaced.
 """
 
 from __future__ import annotations
@@ -21,14 +25,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import stage, text_or_empty
+from .common import from_row, in_row, others, stage, text_or_empty
 
 MAX_ROWS = 20_000
 THRESHOLD = 0.7
-LEXICON_LIMIT = 4_000
+FOLDS = 5
 
 # Insults, and second-person words of the corpus's languages.
 INSULTS = frozenset("idiot moron stupid dumb loser pathetic scum trash clown worthless disgusting garbage fool imbecile vermin filth".split())
@@ -69,6 +74,22 @@ class Lexicon:
         return got
 
 
+def hidden_insults(low: str) -> tuple[int, int]:
+    """Marks inside words, and how many of them are in a word that is an insult without them or with letters in their place."""
+    flat, inside, hidden, end, insult = None, 0, 0, 0, False
+    if INSIDE.search(low):
+        flat = " ".join(low.split())  # words end at any white space
+        for m in INSIDE.finditer(flat):
+            inside += 1
+            if m.start() >= end:  # the first mark of a word
+                end = flat.find(" ", m.end())
+                end = len(flat) if end < 0 else end
+                word = flat[flat.rfind(" ", 0, m.start()) + 1 : end]
+                insult = bool(INSULTS & {re.sub(r"[\W\d_]", "", word), re.sub(r"[^a-z]", "", word.translate(LEET))})
+            hidden += insult
+    return inside, hidden
+
+
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     if not text:
         return [0.0] * len(FEATURES)
@@ -101,26 +122,26 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     capitals = int((code != lower).sum()) if len(code) == len(lower) else 0
     ascii_marks = int(((code > 32) & (code < 48) | (code > 57) & (code < 65) | (code > 90) & (code < 97) | (code > 122) & (code < 127)).sum())
     digits = int(((code >= 48) & (code <= 57)).sum())
-    inside = spaced = hidden = 0
-    for m in INSIDE.finditer(low):
-        inside += 1
-        left, right = low.rfind(" ", 0, m.start()) + 1, low.find(" ", m.end())
-        plain = low[left : right if right >= 0 else None][:64]
-        hidden += bool(INSULTS & {re.sub(r"[\W\d_]", "", plain), re.sub(r"[^a-z]", "", plain.translate(LEET))})
+    inside, hidden = hidden_insults(low)
     spaced = len(SPACED.findall(low))
     shouted = sum(map(str.isupper, text.split())) if capitals > 0.2 * chars else 0
     return [
-        insults / n, min(insults, 20), word_odds / n, word_hits / n, prefix_odds / n, prefix_hits / n, top, near / n, second / n,
+        insults / n, insults, word_odds / n, word_hits / n, prefix_odds / n, prefix_hits / n, top, near / n, second / n,
         capitals / chars, shouted / n, ascii_marks / chars, text.count("!") / chars, inside / n, spaced / n, len(REPEATED.findall(low)) / n,
-        len(JUNK.findall(low)) / n, min(hidden, 20) / n, digits / chars, float(np.log1p(n)),
+        len(JUNK.findall(low)) / n, hidden / n, digits / chars, float(np.log1p(n)),
     ]
 
 
-def learn_odds(stats: list[tuple[str, int, int]], toxic: int, clean: int, least: int) -> dict[str, float]:
-    """stats: key, toxic and clean texts that hold it."""
-    odds = {}
+def least_texts(toxic: int) -> int:
+    """Toxic texts that must hold a key for its odds to count; so a lexicon has at most a hundred times the keys of a text."""
+    return max(3, toxic // 100)
+
+
+def learn_odds(stats: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
+    """stats: key, toxic and clean texts that hold it. The odds are their lower bound at 95 percent, so keys of few texts count little."""
+    odds, least = {}, least_texts(toxic)
     for key, t, c in stats:
-        value = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))
+        value = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1)) - 1.64 * np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
         if t >= least and value >= 2:
             odds[key] = float(value)
     return odds
@@ -152,6 +173,8 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: f
     """Logistic-loss boosting with histogram splits and Newton leaves; deterministic."""
     p = (y.sum() + 0.5) / (len(y) + 1)
     base = float(np.log(p / (1 - p)))
+    if not len(y):
+        return Trees(base, rate, np.zeros((0, 1), np.int64), np.zeros((0, 1)), np.zeros((0, 2)))
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for j in range(x.shape[1])]
     cuts = [np.unique(np.concatenate([c, [0.0]])) for c in cuts]
     binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
@@ -222,97 +245,117 @@ class Model:
         return self.isotonic.of(raw) if self.isotonic else 1 / (1 + np.exp(-raw))
 
 
-def held_out(doc_id: str = "doc_id"):
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """id, text, y, fold (0 lexicon, 1 and 2 trees, 3 calibration) of at most about max_rows labelled rows."""
+    """text, y, fold of at most about max_rows labelled rows."""
     usable = (
-        labels.select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__y"))
-        .where(F.col("__id").isNotNull() & F.col("__y").isNotNull() & ~held_out("__id"))
-        .groupBy("__id")
-        .agg(F.max("__y").cast("int").alias("y"))
+        labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("y"))
+        .where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out("id"))
+        .groupBy("id")
+        .agg(F.max("y").cast("int").alias("y"))
     )
     total = usable.count()
     share = min(1.0, max_rows / max(1, total))
-    spread = F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(1_000_000))
-    chosen = usable.where(spread < int(share * 1_000_000)).withColumn("fold", F.pmod(F.xxhash64("__id", F.lit(11)), F.lit(4)).cast("int"))
-    texts = docs.select(F.col("doc_id").alias("__id"), text_or_empty().alias("text"))
+    spread = F.shiftrightunsigned(F.xxhash64("id", F.lit(7)), 2)  # 62 bits
+    chosen = usable.where(spread < int(share * 2**62)).withColumn("fold", F.pmod(F.xxhash64("id", F.lit(11)), F.lit(FOLDS)).cast("int"))
+    texts = docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("text"))
     # The sample is bounded by max_rows, so its ids can be broadcast.
-    return texts.join(F.broadcast(chosen), "__id").select("text", "y", "fold")
+    return texts.join(F.broadcast(chosen), "id").select("text", "y", "fold")
 
 
 def count_keys(batches) -> Iterator:
-    """Arrow batches of key, toxic and clean: texts of each kind that hold the key."""
+    """Arrow batches of key, fold, toxic and clean: texts of each kind that hold the key."""
     import pyarrow as pa
 
-    toxic, clean = Counter(), Counter()
+    counts: Counter = Counter()
 
     def told():
-        keys = list(toxic | clean)
+        keys = list(counts)
         for i in range(0, len(keys), 100_000):
             part = keys[i : i + 100_000]
-            counts = [pa.array([c[k] for k in part], pa.int64()) for c in (toxic, clean)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *counts], names=["key", "toxic", "clean"])
+            n = [counts[k] for k in part]
+            y = [k[2] for k in part]
+            columns = [pa.array([k[0] for k in part], pa.string()), pa.array([k[1] for k in part], pa.int32()), pa.array([a * b for a, b in zip(n, y, strict=True)], pa.int64()), pa.array([a * (1 - b) for a, b in zip(n, y, strict=True)], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "fold", "toxic", "clean"])
 
     for batch in batches:
-        for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            found = {k for w in set(WORD.findall(text.lower())) for k in keys_of(w)}
-            (toxic if y else clean).update(found)
-        if len(toxic) + len(clean) > 400_000:
+        for text, y, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "y", "fold")), strict=True):
+            counts.update((k, fold, int(y > 0)) for k in {k for w in set(WORD.findall(text.lower())) for k in keys_of(w)})
+        if len(counts) > 400_000:
             yield from told()
-            toxic.clear()
-            clean.clear()
+            counts.clear()
     yield from told()
 
 
+def learn_lexicons(rows: DataFrame, sizes: dict[tuple[int, int], int]) -> list[Lexicon]:
+    """One lexicon for each fold, learned from the others, and last that of all rows."""
+    sums = [F.sum(F.when(F.col("fold") == f, F.col(k))) for f in range(FOLDS) for k in ("toxic", "clean")]
+    names = [f"{k}{f}" for f in range(FOLDS) for k in ("toxic", "clean")]
+    stats = rows.mapInArrow(count_keys, "key string, fold int, toxic long, clean long").groupBy("key").agg(*[F.coalesce(x, F.lit(0)).alias(n) for x, n in zip(sums, names, strict=True)])
+    sides = [[f for f in range(FOLDS) if f != out] for out in range(FOLDS + 1)]
+    totals = [tuple(sum(sizes[f, y] for f in side) for y in (1, 0)) for side in sides]
+    wanted = F.lit(False)
+    for side, (toxic, clean) in zip(sides, totals, strict=True):
+        t, c = (sum((F.col(f"{k}{f}") for f in side), F.lit(0)) for k in ("toxic", "clean"))
+        wanted = wanted | ((t >= least_texts(toxic)) & ((t + 0.5) * (clean + 1) >= 7 * (c + 0.5) * (toxic + 1)))  # e to the 2 is over 7
+    got = stats.where(wanted).collect()
+    lexicons = []
+    for side, (toxic, clean) in zip(sides, totals, strict=True):
+        lexicons.append(Lexicon(learn_odds([(r["key"], sum(r[f"toxic{f}"] for f in side), sum(r[f"clean{f}"] for f in side)) for r in got], toxic, clean)))
+    return lexicons
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Only rows whose crc32(doc_id) mod 3 is not 1 are learned from."""
     rows = stage(training_rows(docs, labels, max_rows), "toxicity-sample")
-    sizes = Counter()
-    for r in rows.groupBy("fold", "y").count().collect():
+    sizes: Counter = Counter()
+    for r in rows.groupBy("fold", (F.col("y") > 0).cast("int").alias("y")).count().collect():
         sizes[r["fold"], r["y"]] = r["count"]
-    toxic, clean = (sum(n for (_, y), n in sizes.items() if y == k) for k in (1, 0))
-    if min(toxic, clean) < 4:
+    if not all(sum(sizes[f, y] for f in range(FOLDS)) for y in (0, 1)):
         return Model(Lexicon(), None, None)
-    few = toxic < 200
-    tox0, clean0 = sizes[0, 1], sizes[0, 0]
-    least = max(3, tox0 // 100)
-    keys = (
-        rows.where("fold = 0").mapInArrow(count_keys, "key string, toxic long, clean long").groupBy("key")
-        .agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where((F.col("t") >= least) & (F.col("t") * (clean0 + 1) > 7 * F.col("c") * (tox0 + 1)))
-        .orderBy(F.desc(F.col("t") / (F.col("c") + 1)), "key").limit(LEXICON_LIMIT).collect()
-    )
-    lexicon = Lexicon(learn_odds([(r["key"], r["t"], r["c"]) for r in keys], tox0, clean0, least))
+    lexicons = learn_lexicons(rows, sizes)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"x": [features(t, lexicon) for t in b["text"]], "y": b["y"], "fold": b["fold"]})
+            yield pd.DataFrame({"x": [features(t, lexicons[f]) for t, f in zip(b["text"], b["fold"], strict=True)], "y": b["y"], "fold": b["fold"]})
 
-    got = rows.where("fold > 0 OR " + ("true" if few else "false")).mapInPandas(measure, "x array<double>, y int, fold int").collect()
+    got = rows.mapInPandas(measure, "x array<double>, y int, fold int").collect()  # the sample, bounded by max_rows
     got.sort(key=lambda r: (r["fold"], r["y"], r["x"]))
-    x, y, fold = np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES)), np.array([float(r["y"]) for r in got]), np.array([r["fold"] for r in got])
-    # With few toxic rows every fold trains the trees and calibrates them; else the folds stay apart.
-    tree_rows, last_rows = (fold >= 0, fold >= 0) if few else (fold < 3, fold == 3)
-    trees = boost(x[tree_rows], y[tree_rows])
-    return Model(lexicon, trees, Isotonic.fit(trees.raw(x[last_rows]), y[last_rows]))
+    x, fold = np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES)), np.array([r["fold"] for r in got])
+    y = np.array([float(r["y"] > 0) for r in got])
+    raw = np.zeros(len(got))
+    for f in np.unique(fold):
+        raw[fold == f] = boost(x[fold != f], y[fold != f]).raw(x[fold == f])
+    return Model(lexicons[-1], boost(x, y), Isotonic.fit(raw, y))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (default doc_id) with ``score`` and ``predicted``."""
-    keep = ["doc_id"] if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    text = "__text"
+def scored_rows(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
+    """row (the columns keep, default doc_id), score, predicted."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample's
+    rows = in_row(docs, ["doc_id"] if keep is None else keep, text=F.col("text"))
+    schema = StructType([rows.schema["row"], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
 
     def run(batches):
         import pyarrow as pa
 
         m = shared.value
         for b in batches:
-            s = m.score(b.column(text).to_pylist())
-            columns = [b.column(c) for c in keep] + [pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "score", "predicted"])
+            s = m.score(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=["row", "score", "predicted"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
+    """The columns keep (default doc_id) with ``score`` and ``predicted``."""
+    kept = others(["doc_id"] if keep is None else keep, ["score", "predicted"])
+    return scored_rows(docs, model, threshold, kept).select(*from_row(kept), "score", "predicted")
+
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(text)).mapInArrow(run, f"{kinds}, score double, predicted int")
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs that score under the threshold, with all their columns."""
+    found = scored_rows(docs, fit(docs, labels), threshold, docs.columns)
+    return found.where("predicted = 0").select(*from_row(docs.columns))
