@@ -8,7 +8,8 @@ columns of ``documents``; the last adds ``slot`` and ``shard``.
 2. near_duplicates: one document (the smallest id) of each group of five-word-shingle
    Jaccard similarity 0.8 or more stays; texts without words are no duplicates.
 3. decontamination: documents that hold a benchmark window go.
-4. mixing: documents are repeated or cut to their source's target weight; rows repeat.
+4. mixing: documents are repeated or cut to their source's target weight and dealt to
+   output shards; rows repeat.
 5. sharding: every row gets the shard of its document.
 """
 
@@ -24,9 +25,7 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, keep=docs.columns)
-    return scored.where("predicted = 0").select(docs.columns)
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
