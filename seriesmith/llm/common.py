@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from pyspark.sql.window import Window
 
 #: Rows up to which the right side of a join is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Rows up to which a key's rows are left to one task.
+HOT_ROWS = 1_000
 #: A null id sorts before every other id.
 NULL_ID = -(2**63)
 
@@ -83,3 +86,19 @@ def joined(left: DataFrame, right: DataFrame, on: list[str], how: str, counted:
     """Join with narrow rows: the right side is broadcast if its rows, or those of counted (a written table that it groups), allow."""
     few = (right if counted is None else counted).count() <= BROADCAST_ROWS
     return left.join(F.broadcast(right) if few else right, on, how)
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], name: str) -> DataFrame:
+    """Inner join of a written table with one that has one row a key, where a key may hold any share of the left rows.
+
+    Keys of more than ``HOT_ROWS`` rows, or of more than one in ``BROADCAST_ROWS`` of all rows,
+    are joined by broadcast: there can't be more than ``BROADCAST_ROWS`` of them. The others
+    shuffle.
+    """
+    least = max(HOT_ROWS, ceil(left.count() / BROADCAST_ROWS))
+    hot = stage(left.groupBy(*on).agg(F.count("*").alias("rows")).where(F.col("rows") > least).select(*on), name)
+    if not hot.limit(1).count():
+        return left.join(right, on)
+    hot = F.broadcast(hot)
+    many = left.join(hot, on, "left_semi").join(F.broadcast(right.join(hot, on, "left_semi")), on)
+    return many.unionByName(left.join(hot, on, "left_anti").join(right, on))

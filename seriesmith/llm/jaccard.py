@@ -16,19 +16,24 @@
    remain are compared exactly.
 
 The sketch, and a filter of the shingles that several classes hold, are of fixed size and
-only save work; no result depends on what they forget. A range of hundreds of hashes that
-holds under a quarter of its mean would escape step 2, which is far less likely than a
-clash of 64-bit hashes.
-
-Bundles of more than ``BUNDLE_ROWS`` classes are cut into blocks by size; pairs of blocks
-whose sizes can match are joined in tasks of their own, so no task holds more than two
-blocks.
+only save work; no result depends on what they forget. Their pieces are merged in two steps,
+so no task sees those of all tasks. A range of hundreds of hashes that holds under a quarter
+of its mean would escape step 2, which is far less likely than a clash of 64-bit hashes.
+
+Large groups are split. A shingle of more than ``HOT_ROWS`` rows, and a bundle of more than
+``BUNDLE_ROWS`` classes, is dealt to blocks by hash, with two of its classes in every block.
+Blocks are joined by themselves first. Where the classes that are not in the largest
+component found so far are left, they are dealt to blocks again, and those meet the other
+blocks in pairs; so a large group of copies of one text takes work in proportion to its
+rows. Only a group that is large and mostly not alike is quadratic in its blocks. Copies of a
+class meet the class's result by broadcast if they are many: there can be no more than
+``BROADCAST_ROWS`` classes of over that share of all rows.
 
 Defined results: an empty or null text, or one without words, has an empty set and is linked
-with nothing; a text with fewer words than a shingle has its whole word sequence as its one
-shingle; repeated rows and equal sets are one class; null ids are ignored for a class's
-smallest id, and a class of null ids alone has a null id; an empty table gives an empty
-result.
+with nothing; repeated rows and ids share their class; ties go to the smallest id; a null id
+links its text's class but names no component, and a class of null ids alone has a null id;
+texts of any length count whole; an empty table gives an empty result; other columns are
+carried along whatever their names (``keep_one``) or dropped (``classes``).
 """
 
 from __future__ import annotations
@@ -36,16 +41,17 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from fractions import Fraction
+from itertools import count
+from math import ceil
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import joined, stage, utf8
+from .common import BROADCAST_ROWS, from_row, in_row, joined, spread_join, stage, utf8
 from .hashing import BASE, INVERSE, mix, word_hashes
 
 SKETCH_BITS = 24
@@ -62,6 +68,10 @@ RANGE_WORDS = 8
 GROUP_ROWS = 64
 LEAF = 16
 FANOUT = 4
+#: Rows of one shingle that one task joins.
+HOT_ROWS = 1_000
+#: Pieces of a sketch or filter are merged within so many groups of tasks, then over these.
+MERGES = 256
 BUNDLE_ROWS = 20_000
 #: Shingles of a bundle that one task may hold.
 BUNDLE_SHINGLES = 8_000_000
@@ -95,6 +105,34 @@ def set_digest(s: np.ndarray) -> tuple[int, int]:
 # --- sketch of shingle frequencies ---------------------------------------------------
 
 
+def pieces(values: np.ndarray) -> list[tuple[int, bytes]]:
+    """(part, packed) of an array of bytes."""
+    cut = len(values) // SKETCH_PARTS
+    return [(p, zlib.compress(values[p * cut : (p + 1) * cut].tobytes(), 1)) for p in range(SKETCH_PARTS)]
+
+
+def merged(df: DataFrame, width: int, add: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """All pieces (part, task, packed) of df as one array of ``width`` bytes."""
+
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(width // SKETCH_PARTS, dtype=np.uint8)
+        for x in pdf["packed"]:
+            total = add(total, np.frombuffer(zlib.decompress(x), dtype=np.uint8))
+        return pd.DataFrame({"part": [key[0]], "packed": [zlib.compress(total.tobytes(), 1)]})
+
+    some = df.groupBy("part", F.pmod("task", F.lit(MERGES)).alias("some")).applyInPandas(run, "part int, packed binary")
+    out = np.zeros(width, dtype=np.uint8)
+    cut = width // SKETCH_PARTS
+    # A fixed number of parts of a fixed size: the array does not grow with the data.
+    for r in some.groupBy("part").applyInPandas(run, "part int, packed binary").toLocalIterator():
+        out[r["part"] * cut : (r["part"] + 1) * cut] = np.frombuffer(zlib.decompress(r["packed"]), dtype=np.uint8)
+    return out
+
+
+def add_counts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.minimum(x.astype(np.uint16) + y, MOST).astype(np.uint8)
+
+
 def measure(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     """Per row: id, a, b (its set's digest), n (its size); and the sketch, counts by the hash's last bits."""
     width = 1 << SKETCH_BITS
@@ -102,9 +140,9 @@ def measure(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     def run(batches):
         import pyarrow as pa
 
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        names = ["id", "a", "b", "n", "part", "counts"]
-        counts = np.zeros(width, dtype=np.uint16)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        names = ["id", "a", "b", "n", "part", "task", "packed"]
+        counts = np.zeros(width, dtype=np.uint8)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -115,29 +153,16 @@ def measure(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
                 out.append((doc_id, *set_digest(s), len(s)))
             columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
             arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=False)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*arrays, *(pa.nulls(len(out), t) for t in kinds[4:])], names=names)
         if counts.any():
-            cut = width // SKETCH_PARTS
-            for p in range(SKETCH_PARTS):
-                packed = zlib.compress(np.minimum(counts[p * cut : (p + 1) * cut], MOST).astype(np.uint8).tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in kinds[:4]), pa.array([p], pa.int32()), pa.array([packed], pa.binary())], names=names)
-
-    def add(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(width // SKETCH_PARTS, dtype=np.int64)
-        for c in pdf["counts"]:
-            total += np.frombuffer(zlib.decompress(c), dtype=np.uint8)
-        return pd.DataFrame({"part": [key[0]], "counts": [zlib.compress(np.minimum(total, MOST).astype(np.uint8).tobytes(), 1)]})
-
-    both = docs.select(F.col("doc_id").cast("long").alias("id"), utf8().alias("text")).mapInArrow(run, "id long, a long, b long, n long, part int, counts binary")
+            task = TaskContext.get().partitionId()
+            for p, packed in pieces(counts):
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in kinds[:4]), *(pa.array([x], t) for x, t in zip((p, task, packed), kinds[4:], strict=True))], names=names)
+
+    both = docs.select(F.col("doc_id").cast("long").alias("id"), utf8().alias("text")).mapInArrow(run, "id long, a long, b long, n long, part int, task int, packed binary")
     both = stage(both, "jaccard-sets")
     rows = both.where("part IS NULL").select("id", "a", "b", "n")
-    # A fixed number of parts of a fixed size: the sketch does not grow with the data.
-    sums = both.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
-    sketch = np.zeros(width, dtype=np.uint8)
-    cut = width // SKETCH_PARTS
-    for r in sums:
-        sketch[r["part"] * cut : (r["part"] + 1) * cut] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint8)
-    return rows, sketch
+    return rows, merged(both.where("part IS NOT NULL").select("part", "task", "packed"), width, add_counts)
 
 
 # --- candidate bundles ---------------------------------------------------------------
@@ -191,8 +216,8 @@ class Prefixes:
                     yield tokens.view(np.int64), digest[0], n, slack, bits
 
 
-def shared_filter(docs: DataFrame, k: int, t: Fraction, sketch: Broadcast) -> np.ndarray:
-    """A bit for each hash of tokens that more than one class holds, in a filter of fixed size."""
+def shared_filter(docs: DataFrame, k: int, t: Fraction, sketch: Broadcast, hot_rows: int) -> tuple[np.ndarray, DataFrame]:
+    """A bit for each hash of tokens that more than one class holds, in a filter of fixed size; and the hot tokens: token, blocks, and two classes that hold it (lo, hi)."""
     width = 1 << (FILTER_BITS - 3)
 
     def run(batches):
@@ -210,27 +235,21 @@ def shared_filter(docs: DataFrame, k: int, t: Fraction, sketch: Broadcast) -> np
             at = b["token"].to_numpy(np.int64).view(np.uint64) & np.uint64(8 * width - 1)
             np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         if bits.any():
-            cut = width // SKETCH_PARTS
-            yield pd.DataFrame({"part": range(SKETCH_PARTS), "bits": [zlib.compress(bits[p * cut : (p + 1) * cut].tobytes(), 1) for p in range(SKETCH_PARTS)]})
-
-    def either(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(width // SKETCH_PARTS, dtype=np.uint8)
-        for x in pdf["bits"]:
-            total |= np.frombuffer(zlib.decompress(x), dtype=np.uint8)
-        return pd.DataFrame({"part": [key[0]], "bits": [zlib.compress(total.tobytes(), 1)]})
+            task = TaskContext.get().partitionId()
+            yield pd.DataFrame(pieces(bits), columns=["part", "packed"]).assign(task=task)[["part", "task", "packed"]]
 
     tokens = docs.select(utf8().alias("text")).mapInArrow(run, "token long, cls long")
-    held = tokens.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
-    parts = held.mapInPandas(fill, "part int, bits binary").groupBy("part").applyInPandas(either, "part int, bits binary").collect()
-    out = np.zeros(width, dtype=np.uint8)
-    cut = width // SKETCH_PARTS
-    for r in parts:
-        out[r["part"] * cut : (r["part"] + 1) * cut] = np.frombuffer(zlib.decompress(r["bits"]), dtype=np.uint8)
-    return out
+    held = tokens.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    held = stage(held, "jaccard-tokens")
+    bits = merged(held.select("token").mapInPandas(fill, "part int, task int, packed binary"), width, np.bitwise_or)
+    # No more than BROADCAST_ROWS tokens can hold over that share of all rows.
+    least = max(hot_rows, ceil((held.agg(F.sum("n")).first()[0] or 0) / BROADCAST_ROWS))
+    hot = stage(held.where(F.col("n") > least).select("token", "lo", "hi", F.ceil(F.col("n") / hot_rows).cast("int").alias("blocks")), "jaccard-hot-tokens")
+    return bits, hot
 
 
-def group_edges(token: np.ndarray, cls: np.ndarray, n: np.ndarray, slack: np.ndarray, words: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Classes that may be linked, from rows in the order of tokens: enough pairs to join what is connected."""
+def group_edges(token: np.ndarray, cls: np.ndarray, n: np.ndarray, slack: np.ndarray, words: np.ndarray, t: float, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Classes that may be linked, from rows in the order of tokens: enough pairs to join what is connected; known: labels of rows that are connected already."""
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(token)]]))
     found: list[np.ndarray] = []
@@ -249,7 +268,7 @@ def group_edges(token: np.ndarray, cls: np.ndarray, n: np.ndarray, slack: np.nda
         at = first + start
         order = np.lexsort((n[at], words[at, 0]))
         tree = SignatureTree(words[at][order], n[at][order], t, slack[at][order])
-        union = Union(len(own))
+        union = Union(len(own), None if known is None else known[at])
         traverse(tree, order, union, lambda x, y: True)
         found.append(np.stack([own, own[union.labels()]], axis=1))
     pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
@@ -257,8 +276,20 @@ def group_edges(token: np.ndarray, cls: np.ndarray, n: np.ndarray, slack: np.nda
     return pairs[:, 0], pairs[:, 1]
 
 
-def candidate_edges(docs: DataFrame, k: int, t: Fraction, sketch: Broadcast, wanted: np.ndarray) -> DataFrame:
-    """a, b: classes that may be linked; their components hold every link."""
+HOT_ROW = ["token", "cls", "n", "slack", "words"]
+
+
+def edges_of_rows(rows: pd.DataFrame, t: float, known: np.ndarray | None = None) -> pd.DataFrame:
+    """rows in the order of token and block."""
+    words = np.frombuffer(b"".join(rows["words"]), dtype=np.uint64).reshape(-1, RANGE_WORDS)
+    groups = np.cumsum(np.concatenate([[0], (np.diff(rows["token"].to_numpy()) != 0) | (np.diff(rows["block"].to_numpy()) != 0)]))
+    a, b = group_edges(groups, *(rows[c].to_numpy() for c in ("cls", "n", "slack")), words, t, known)
+    return pd.DataFrame({"a": a, "b": b})
+
+
+def candidate_labels(docs: DataFrame, k: int, t: Fraction, sketch: Broadcast, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """a, root: the classes that may be linked with another, by connected components that hold every link."""
+    wanted, hot = shared_filter(docs, k, t, sketch, hot_rows)
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
     approx = float(t)
 
@@ -283,53 +314,110 @@ def candidate_edges(docs: DataFrame, k: int, t: Fraction, sketch: Broadcast, wan
                 )
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
+        """Pairs within each (token, block); rows of hot tokens go on for the pairs between blocks."""
+        rest: list[pd.DataFrame] = []
 
-        def told(rows: pd.DataFrame) -> pd.DataFrame:
-            words = np.frombuffer(b"".join(rows["words"]), dtype=np.uint64).reshape(-1, RANGE_WORDS)
-            a, b = group_edges(*(rows[c].to_numpy() for c in ("token", "cls", "n", "slack")), words, approx)
-            return pd.DataFrame({"a": a, "b": b})
+        def told(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            found = edges_of_rows(rows, approx)
+            if len(found):
+                yield found.assign(**dict.fromkeys(HOT_ROW)).reindex(columns=["a", "b", *HOT_ROW])
+            own = rows[rows["own"]]
+            if len(own):
+                yield own.assign(a=None, b=None).reindex(columns=["a", "b", *HOT_ROW])
 
         for batch in batches:
-            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            tokens = rows["token"].to_numpy()
-            cut = int(np.searchsorted(tokens, tokens[-1])) if len(tokens) else 0  # the last token may go on
-            rest = rows.iloc[cut:]
-            if cut:
-                yield told(rows.iloc[:cut])
-        if rest is not None and len(rest):
-            yield told(rest)
+            if not len(batch):
+                continue
+            last = (batch["token"] == batch["token"].iloc[-1]) & (batch["block"] == batch["block"].iloc[-1])
+            cut = int(np.argmax(last.to_numpy()))  # the last group may go on
+            if cut or (rest and (rest[-1]["token"].iloc[-1], rest[-1]["block"].iloc[-1]) != (batch["token"].iloc[-1], batch["block"].iloc[-1])):
+                yield from told(pd.concat([*rest, batch.iloc[:cut]], ignore_index=True))
+                rest = []
+            rest.append(batch.iloc[cut:])
+        if rest:
+            yield from told(pd.concat(rest, ignore_index=True))
 
     rows = docs.select(utf8().alias("text")).mapInArrow(rich, "token long, cls long, n int, slack double, words binary")
-    return rows.repartition("token").sortWithinPartitions("token").mapInPandas(edges, "a long, b long")
+    # A hot token's rows are dealt to blocks; two of its classes are in all of them.
+    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    every = F.when(F.col("cls").isin(F.col("lo"), F.col("hi")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))
+    rows = rows.join(F.broadcast(hot), "token", "left").withColumn("home", F.coalesce(block, F.lit(0)))
+    rows = rows.withColumn("block", F.explode(F.coalesce(F.when(F.col("blocks").isNotNull(), every), F.array(F.lit(0)))))
+    rows = rows.withColumn("own", F.col("blocks").isNotNull() & (F.col("block") == F.col("home"))).drop("lo", "hi", "blocks", "home")
+    out = rows.repartition("token", "block").sortWithinPartitions("token", "block").mapInPandas(edges, "a long, b long, token long, cls long, n int, slack double, words binary")
+    out = stage(out, "jaccard-edges")
+    first = out.where("a IS NOT NULL").select("a", "b")
+    labels = components(first, "jaccard-bundles")
+    if not hot.limit(1).count():
+        return labels
+    # Copies of a class that several tasks saw are one.
+    again = out.where("a IS NULL").groupBy("token", "cls").agg(*[F.any_value(c).alias(c) for c in ("n", "slack", "words")]).withColumn("block", F.lit(0))
+    return settled(again, labels, "token", "cls", lambda pdf: edges_of_rows(pdf, approx, pdf["root"].to_numpy()), hot_rows, "jaccard-between")
+
+
+def settled(rows: DataFrame, labels: DataFrame, group: str, node: str, join: Callable[[pd.DataFrame], pd.DataFrame], block_rows: int, name: str) -> DataFrame:
+    """labels (a, root) of the components after all pairs of rows of a group are joined, where their labels differ.
+
+    rows: group, node and what join needs; join: rows of a group, with their ``root``, -> a,
+    b, enough pairs to join what is linked. A group's largest component so far does not
+    meet itself again. Its other rows are dealt to blocks, which meet each other and the
+    blocks of the largest in pairs.
+    """
+    told = rows.join(labels.withColumnRenamed("a", node), node, "left").withColumn("root", F.coalesce("root", node))
+    told = stage(told, f"{name}-rows")
+    sizes = told.groupBy(group, "root").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy(group).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where("n > most")
+    blocks = lambda n: F.ceil(n / block_rows).cast("int")
+    sizes = stage(sizes.select(group, "main", blocks(F.col("n") - F.col("most")).alias("rest"), blocks(F.col("most")).alias("mains")), f"{name}-sizes")
+    if not sizes.limit(1).count():
+        return labels
+    placed = told.join(sizes, group).withColumn("in_main", F.col("root") == F.col("main")).withColumn("at", F.pmod(F.xxhash64(node), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("rest"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    pair = lambda x, y, kind: F.struct(x.alias("x"), y.alias("y"), F.lit(kind).alias("kind"))
+    among = F.transform(upto("rest"), lambda j: pair(F.least("at", j), F.greatest("at", j), "rest"))
+    with_main = F.transform(upto("mains"), lambda j: pair(F.col("at"), j, "main"))
+    of_main = F.transform(upto("rest"), lambda i: pair(i, F.col("at"), "main"))
+    met = placed.withColumn("pair", F.explode(F.when(F.col("in_main"), of_main).otherwise(F.concat(among, with_main))))
+    kind = rows.schema[node].dataType.simpleString()
+    more = met.drop("main", "rest", "mains", "in_main", "at").groupBy(group, "pair").applyInPandas(lambda pdf: join(pdf.sort_values(node)), f"a {kind}, b {kind}")
+    # Links between components join these.
+    named = lambda side: labels.toDF(side, f"root_{side}")
+    more = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a <> b")
+    found = components(more, name).toDF("root", "top")
+    known = labels.join(found, "root", "left").select("a", F.coalesce("top", "root").alias("root"))
+    fresh = found.select(F.col("root").alias("a"), F.col("top").alias("root")).join(labels, "a", "left_anti")
+    return stage(known.unionByName(fresh), f"{name}-labels")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """a, root: every node of the edges (a, b) with the smallest node of its component.
 
-    Alternates taking the smallest neighbour's label and jumping to the label's label;
-    each round is written, so lineage stays short. Rounds grow with the logarithm of the
-    diameter.
+    Alternates taking the smallest neighbour's label and jumping to the label's label, until
+    nothing changes; each round is written, so lineage stays short. Rounds grow with the
+    logarithm of the diameter.
     """
     both = stage(edges.union(edges.select("b", "a")).toDF("a", "b").distinct(), f"{name}-edges")
     labels = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")), f"{name}-0")
-    for i in range(1, 200):
+    for i in count(1):
         near = both.join(labels.toDF("b", "r"), "b").groupBy("a").agg(F.min("r").alias("r"))
         met = labels.join(near, "a").select("a", "root", F.least("root", "r").alias("new"))
         jumped = met.join(labels.toDF("new", "next"), "new").select("a", "root", F.least("new", "next").alias("new"))
         jumped = stage(jumped, f"{name}-{i}")
         if not jumped.where("new <> root").limit(1).count():
-            break
+            return labels
         labels = jumped.select("a", F.col("new").alias("root"))
-    return labels
 
 
 # --- the signature tree --------------------------------------------------------------
 
 
 class Union:
-    def __init__(self, n: int):
+    def __init__(self, n: int, known: np.ndarray | None = None):
+        """known: a label for each; those that share one are joined from the start."""
         self.up = np.arange(n)
+        if known is not None:
+            _, first, same = np.unique(known, return_index=True, return_inverse=True)
+            self.up = first[same]
 
     def find(self, i: int) -> int:
         up = self.up
@@ -458,7 +546,7 @@ def tree_join(sets: list[np.ndarray], t: Fraction, union: Union) -> None:
     order = order_sets(sets)
     tree = SignatureTree(bitmaps([sets[i] for i in order], 64 * BITMAP_WORDS), np.array([len(sets[i]) for i in order]), float(t))
     for x, y in zip(order, order[1:], strict=False):  # neighbours first: most links of a large group of copies are found here
-        if linked(sets[x], sets[y], t):
+        if union.find(x) != union.find(y) and linked(sets[x], sets[y], t):
             union.join(x, y)
     traverse(tree, order, union, lambda x, y: linked(sets[x], sets[y], t))
 
@@ -487,38 +575,35 @@ def bundle_links(members: DataFrame, t: Fraction) -> DataFrame:
 
 
 def large_bundle_links(members: DataFrame, t: Fraction, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """As bundle_links, for bundles too large for one task: blocks of like sizes, and pairs of blocks."""
-    # Sizes of linked sets differ by at most the threshold's ratio, so links reach to the next band only.
-    band = F.floor(F.log(F.octet_length("shingles") / 8) / float(np.log(1 / float(t)))).cast("int")
-    banded = members.withColumn("node", F.concat_ws(":", "a", "b")).withColumn("band", band)
-    sizes = banded.groupBy("bundle", "band").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    placed = banded.join(sizes, ["bundle", "band"]).withColumn("at", F.struct("band", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
-    blocks = placed.select("bundle", "at").distinct()
-    pairs = blocks.join(blocks.select("bundle", F.col("at").alias("to")), "bundle")
-    pairs = pairs.where((F.col("at") <= F.col("to")) & (F.col("to.band") - F.col("at.band") <= 1))
-    held = placed.select("bundle", F.col("at").alias("mine"), "node", "shingles")
-    sides = [pairs.join(held.withColumnRenamed("mine", side), ["bundle", side]).select("bundle", "at", "to", "node", "shingles") for side in ("at", "to")]
+    """As bundle_links, for bundles too large for one task, from written members."""
+    nodes = members.withColumn("node", F.concat_ws(":", "a", "b"))
+    sizes = nodes.groupBy("bundle").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"), F.min("node").alias("lo"), F.max("node").alias("hi"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node").drop_duplicates("node")
-        union = Union(len(pdf))
+        union = Union(len(pdf), pdf["root"].to_numpy() if "root" in pdf else None)
         tree_join(unpack(pdf), t, union)
-        nodes = pdf["node"].to_numpy()
-        roots = nodes[union.labels()]
-        return pd.DataFrame({"a": nodes[roots != nodes], "b": roots[roots != nodes]})
-
-    edges = sides[0].unionByName(sides[1]).groupBy("bundle", "at", "to").applyInPandas(run, "a string, b string")
-    labels = components(edges, "jaccard-large").toDF("node", "group")
-    grouped = placed.select("node", "a", "b", "cid").distinct().join(labels, "node")
+        names = pdf["node"].to_numpy()
+        roots = names[union.labels()]
+        return pd.DataFrame({"a": names[roots != names], "b": roots[roots != names]})
+
+    slim = nodes.select("bundle", "node", "shingles")
+    # Two of a bundle's classes are in all of its blocks.
+    every = F.when(F.col("node").isin(F.col("lo"), F.col("hi")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    dealt = slim.join(sizes, "bundle").withColumn("block", F.explode(every)).select("bundle", "block", "node", "shingles")
+    labels = components(dealt.groupBy("bundle", "block").applyInPandas(run, "a string, b string"), "jaccard-large")
+    labels = settled(slim, labels, "bundle", "node", run, block_rows, "jaccard-large-between")
+    grouped = nodes.select("node", "a", "b", "cid").join(labels.toDF("node", "group"), "node")
     return grouped.join(grouped.groupBy("group").agg(F.min("cid").alias("root")), "group").select("a", "b", "root")
 
 
-def join_classes(docs: DataFrame, k: int, t: Fraction, bundle_rows: int = BUNDLE_ROWS, bundle_shingles: int = BUNDLE_SHINGLES) -> tuple[DataFrame, DataFrame]:
+def join_classes(
+    docs: DataFrame, k: int, t: Fraction, bundle_rows: int = BUNDLE_ROWS, bundle_shingles: int = BUNDLE_SHINGLES, hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS
+) -> tuple[DataFrame, DataFrame]:
     """rows (id, a, b, n) of docs, and links (a, b, root) of the classes linked with one of a smaller id."""
     rows, sketch = measure(docs, k)
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    edges = candidate_edges(docs, k, t, shared, shared_filter(docs, k, t, shared))
-    bundles = components(edges, "jaccard-bundles")
+    bundles = candidate_labels(docs, k, t, shared, hot_rows)
     # Classes in bundles, each with the row it is read from; halves of digests that clash only share a bundle.
     named = rows.where("n > 0 AND id IS NOT NULL").groupBy("a", "b").agg(F.min("id").alias("cid"), F.max("n").alias("n"))
     held = stage(named.join(bundles.select("a", F.col("root").alias("bundle")), "a"), "jaccard-held")
@@ -535,20 +620,20 @@ def join_classes(docs: DataFrame, k: int, t: Fraction, bundle_rows: int = BUNDLE
     members = joined(texts, held, ["cid"], "inner").select("bundle", "a", "b", "cid", "text").mapInPandas(sets_of, f"bundle long, {MEMBER}")
     if large.limit(1).count():
         members = stage(members, "jaccard-members")
-        links = bundle_links(members.join(large, "bundle", "left_anti"), t).unionByName(large_bundle_links(members.join(large, "bundle", "left_semi"), t))
+        links = bundle_links(members.join(large, "bundle", "left_anti"), t).unionByName(large_bundle_links(members.join(large, "bundle", "left_semi"), t, block_rows))
     else:
         links = bundle_links(members, t)
     return rows, links
 
 
-def classes(docs: DataFrame, k: int = 3, percent: int = 90, bundle_rows: int = BUNDLE_ROWS) -> DataFrame:
+def classes(docs: DataFrame, k: int = 3, percent: int = 90, bundle_rows: int = BUNDLE_ROWS, hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest id that links reach)."""
-    rows, links = join_classes(docs, k, Fraction(percent, 100), bundle_rows)
-    # One row per class with its component; copies of a class meet it in a join that Spark may split.
+    rows, links = join_classes(docs, k, Fraction(percent, 100), bundle_rows, hot_rows=hot_rows, block_rows=block_rows)
+    # One row per class with its component, which the copies of the class meet.
     least = rows.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("own"))
-    found = least.join(links, ["a", "b"], "left").select("a", "b", F.coalesce("root", "own").alias("component"))
+    found = stage(least.join(links, ["a", "b"], "left").select("a", "b", F.coalesce("root", "own").alias("component")), "jaccard-components")
     empty = rows.where("n = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    full = rows.where("n > 0").join(found, ["a", "b"]).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    full = spread_join(rows.where("n > 0"), found, ["a", "b"], "jaccard-copies").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return full.unionByName(empty)
 
 
@@ -558,10 +643,11 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     whole = F.max(F.col("doc_id") == F.col("component_id"))
     found = classes(docs, k, percent).where("doc_id IS NOT NULL").groupBy("doc_id").agg(whole.alias("first"), F.count("*").alias("n"))
     found = stage(found.where("NOT first OR n > 1"), "jaccard-found")
-    kept = joined(docs, found.where("NOT first").select("doc_id"), ["doc_id"], "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+    rows = in_row(docs, doc_id=F.col("doc_id"))
+    kept = joined(rows, found.where("NOT first").select("doc_id"), ["doc_id"], "left_anti")
     repeated = found.where("first").select("doc_id")
     if repeated.limit(1).count():
-        order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in columns])
-        again = kept.join(repeated, "doc_id", "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(again.drop("__n"))
-    return kept.select(*[F.col(f"`{c}`") for c in columns])
+        # Of rows that repeat an id the first in the order of their columns stays; partial results go ahead of the shuffle.
+        again = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("row").alias("row")).select("row", "doc_id")
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(again)
+    return kept.select(*from_row(columns))

@@ -524,8 +524,8 @@ def brute_components(texts, k, percent):
     return [(len(s), find(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize(("k", "percent", "rows"), [(3, 90, 20_000), (5, 80, 20_000), (3, 90, 3)])
-def test_jaccard_brute_force(spark, k, percent, rows):
+@pytest.mark.parametrize(("k", "percent", "rows", "hot"), [(3, 90, 20_000, 1_000), (5, 80, 20_000, 2), (3, 90, 3, 3)])
+def test_jaccard_brute_force(spark, k, percent, rows, hot):
     rng = random.Random(k)
     texts = odd_texts(9)
     long = [" ".join(f"v{rng.randrange(5000)}" for _ in range(n)) for n in (200, 700, 700, 1500)]
@@ -536,12 +536,13 @@ def test_jaccard_brute_force(spark, k, percent, rows):
         for share in (0.005, 0.01, 0.02, 0.03, 0.05):
             texts.append(" ".join(f"u{rng.randrange(9999)}" if rng.random() < share else x for x in w))
     df = docs(spark, texts).withColumn("token", F.lit("clash"))
-    got = jaccard.classes(df, k, percent, bundle_rows=rows).orderBy("doc_id").collect()
+    got = jaccard.classes(df, k, percent, bundle_rows=rows, hot_rows=hot, block_rows=2).orderBy("doc_id").collect()
     assert [(r["n_shingles"], r["component_id"]) for r in got] == brute_components(texts, k, percent)
     if rows > 3:
         firsts = {c for _, c in brute_components(texts, k, percent)}
-        kept = jaccard.keep_one(docs(spark, texts), k, percent)
-        assert kept.columns == docs(spark, texts).columns and {r["doc_id"] for r in kept.collect()} == firsts
+        clash = docs(spark, texts).withColumns({c: F.lit("clash") for c in ("row", "n", "first", "component_id", "__n")})
+        kept = jaccard.keep_one(clash, k, percent)
+        assert kept.columns == clash.columns and {r["doc_id"] for r in kept.collect()} == firsts and {r["n"] for r in kept.collect()} == {"clash"}
         assert jaccard.classes(df.limit(0)).count() == 0
         odd = docs(spark, texts).union(docs(spark, texts).where("doc_id = 0")).union(docs(spark, ["same here now"]).withColumn("doc_id", F.lit(None).cast("long")))
         assert jaccard.keep_one(odd, k, percent).count() == len(firsts) + 1
@@ -563,6 +564,25 @@ def test_jaccard_of_the_smallest_linked_sets(spark, k, percent):
     assert any(c < i and {n, want[c][0]} == {size, size + 1} for i, (n, c) in enumerate(want))
 
 
+@pytest.mark.parametrize("hot", [1_000, 50])
+def test_jaccard_of_a_large_group_of_near_copies(spark, hot, monkeypatch):
+    """600 near copies, some too far from most, beside copies of one text; split into blocks or not."""
+    from seriesmith.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 40)
+    rng = random.Random(hot)
+    base = [f"g{i}" for i in range(120)]
+    texts = []
+    for i in range(600):
+        w = list(base)
+        for _ in range(rng.randrange(0, 5 if i % 3 else 40)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(300)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base)] * 100
+    got = jaccard.classes(docs(spark, texts).repartition(6), 3, 90, bundle_rows=20_000 if hot > 50 else 60, hot_rows=hot, block_rows=40).orderBy("doc_id").collect()
+    assert [(r["n_shingles"], r["component_id"]) for r in got] == brute_components(texts, 3, 90)
+
+
 def test_tree_join_of_a_large_group():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**62, 300, dtype=np.uint64)
