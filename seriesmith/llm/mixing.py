@@ -15,8 +15,8 @@ draw disjoint blocks; a block is a document, which goes whole to the shard in wh
 starts. Only a source's last document is cut, at the end of its last word that is taken. A
 shard shuffles its documents locally.
 
-Row sums are taken in two steps: a source's rows are cut into cells of about ``CELL_ROWS``
-rows by hash, sums are taken in cells and over the cells of a source. A task of the tree
+Running sums are taken in steps: a source's rows are cut into cells of about ``CELL_ROWS``
+rows by hash, cells into chunks, and sums are taken within and over these. A task of the tree
 holds the quotas of one node: a number for each source. All draws are seeded by source and
 node, so reruns agree, and they are the same distribution at any size.
 
@@ -43,7 +43,8 @@ from .common import from_row, in_row, joined, numbered, stage
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
-CELL_ROWS = 20_000
+CELL_ROWS = 2_000
+CHUNK_CELLS = 1_000
 #: Output shards: at least so many, and more where one would hold more words than this.
 LEAST_SHARDS = 256
 SHARD_WORDS = 1 << 27
@@ -181,10 +182,13 @@ def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REP
     targets = stage(targets.withColumn("key", key).withColumn("words", F.round("target").cast("long")), "mix-targets")
     told = joined(rows.withColumn("key", key), targets.drop("source"), ["key"], "inner", targets).drop("key")
     told = told.withColumn("cell", F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed)), F.col("cells")).cast("int"))
-    # One row for every cell_rows rows of a source.
-    cells = told.groupBy("place", "cell").agg(F.sum("size").alias("own"))
-    of_cell = F.sum("own").over(Window.partitionBy("place").orderBy("cell")) - F.col("own")
-    cells = stage(cells.select("place", "cell", of_cell.alias("start")), "mix-cells")
+    # One row for every cell_rows rows of a source, and one for every CHUNK_CELLS of those.
+    cells = stage(told.groupBy("place", "cell").agg(F.sum("size").alias("own")).withColumn("chunk", F.floor(F.col("cell") / CHUNK_CELLS)), "mix-cells")
+    sums = cells.groupBy("place", "chunk").agg(F.sum("own").alias("all"))
+    before = sums.select("place", "chunk", (F.sum("all").over(Window.partitionBy("place").orderBy("chunk")) - F.col("all")).alias("before"))
+    of_cell = F.sum("own").over(Window.partitionBy("place", "chunk").orderBy("cell")) - F.col("own")
+    cells = cells.withColumn("inside", of_cell).join(before, ["place", "chunk"]).select("place", "cell", (F.col("before") + F.col("inside")).alias("start"))
+    cells = stage(cells, "mix-starts")
     permuted = Window.partitionBy("place", "cell").orderBy(F.xxhash64("doc_id", "tie", F.lit(seed + 1)), "n")
     inside = F.sum("size").over(permuted) - F.col("size")
     placed = joined(told.withColumn("inside", inside), cells, ["place", "cell"], "inner").withColumn("start", F.col("start") + F.col("inside"))

@@ -366,7 +366,8 @@ def source_texts(seed=8, n=600):
     return texts, [names[min(int(rng.expovariate(0.7)), 6)] for _ in range(n)]
 
 
-def test_mixing_targets_and_draws(spark):
+def test_mixing_targets_and_draws(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK_CELLS", 3)
     texts, sources = source_texts()
     df = docs(spark, texts, sources).withColumn("size", F.lit("clash")).withColumn("n", F.lit("clash"))
     got = mixing.digest(df, cell_rows=50, shards=8).collect()
