@@ -88,8 +88,8 @@ def joined(left: DataFrame, right: DataFrame, on: list[str], how: str, counted:
     return left.join(F.broadcast(right) if few else right, on, how)
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], name: str) -> DataFrame:
-    """Inner join of a written table with one that has one row a key, where a key may hold any share of the left rows.
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], name: str, how: str = "inner") -> DataFrame:
+    """Join of a written table with one that has one row a key, where a key may hold any share of the left rows; how: inner or left.
 
     Keys of more than ``HOT_ROWS`` rows, or of more than one in ``BROADCAST_ROWS`` of all rows,
     are joined by broadcast: there can't be more than ``BROADCAST_ROWS`` of them. The others
@@ -98,7 +98,7 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], name: str) ->
     least = max(HOT_ROWS, ceil(left.count() / BROADCAST_ROWS))
     hot = stage(left.groupBy(*on).agg(F.count("*").alias("rows")).where(F.col("rows") > least).select(*on), name)
     if not hot.limit(1).count():
-        return left.join(right, on)
+        return left.join(right, on, how)
     hot = F.broadcast(hot)
-    many = left.join(hot, on, "left_semi").join(F.broadcast(right.join(hot, on, "left_semi")), on)
-    return many.unionByName(left.join(hot, on, "left_anti").join(right, on))
+    many = left.join(hot, on, "left_semi").join(F.broadcast(right.join(hot, on, "left_semi")), on, how)
+    return many.unionByName(left.join(hot, on, "left_anti").join(right, on, how))

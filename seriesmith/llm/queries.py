@@ -178,5 +178,88 @@ FROM w LEFT JOIN size USING (doc_id) LEFT JOIN reach ON reach.a = w.doc_id GROUP
 """
 
 
+BLANK = "[ \\t\\n\\x0B\\f\\r]"
+
+
+def norm_sql(x: str) -> str:
+    return f"lower(trim(regexp_replace({x}, '{BLANK}+', ' ', 'g'), ' '))"
+
+
+def keys_sql(passages: str, names: str) -> str:
+    """kind, key and weight of each lookup of a passage ``said``."""
+    n = chat.WINDOW
+    words = f"string_split({norm_sql('said')}, ' ')"
+    return f"""
+  SELECT {names}, 0 AS kind, {norm_sql('said')} AS key, {chat.WHOLE} AS weight FROM {passages} WHERE {norm_sql('said')} <> ''
+  UNION ALL SELECT {names}, 1, key, length(key) FROM (SELECT {names}, {norm_sql('unnest(string_split(said, chr(10)))')} AS key FROM {passages}) WHERE key <> ''
+  UNION ALL SELECT {names}, 2, array_to_string(w[i:i + {n - 1}], ' '), length(w[i]) + 1 FROM (
+    SELECT {names}, w, unnest(range(1, len(w) - {n - 2})) AS i FROM (SELECT {names}, {words} AS w FROM {passages}) WHERE len(w) >= {n})"""
+
+
+CHAT_SQL = rf"""
+WITH RECURSIVE m AS (
+  SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text,
+         ('0x' || substr(md5(coalesce(role, chr(0)) || chr(31) || coalesce(text, '')), 1, 15))::BIGINT AS mid FROM conversations
+), raw AS (
+  SELECT *, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM m WHERE regexp_matches(text, '(?:^|
+)[ 	]*>')
+), leveled AS (
+  SELECT *, length(regexp_replace(regexp_extract(raw, '^((?:[ 	]*>)+)', 1), '[^>]', '', 'g')) AS level, regexp_replace(raw, '^((?:[ 	]*>)+)[ 	]?', '') AS body FROM raw
+), ahead AS (
+  SELECT *, lead(level) OVER (PARTITION BY conv_id, turn, mid ORDER BY pos) AS next FROM leveled
+), kept AS (
+  SELECT *, lag(level) OVER (PARTITION BY conv_id, turn, mid ORDER BY pos) AS before FROM ahead
+  WHERE NOT coalesce(regexp_matches(raw, '(?i)^{BLANK}*on [^
+]+ wrote:{BLANK}*$') AND next > level, false)
+), line AS (
+  SELECT *, sum(CASE WHEN level <> before THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn, mid ORDER BY pos) AS run FROM kept
+), passage AS (
+  SELECT conv_id, turn, role, mid, run, level, string_agg(body, chr(10) ORDER BY pos) AS said FROM line GROUP BY ALL
+), unquoted AS (
+  SELECT conv_id, turn, role, mid, string_agg(body, chr(10) ORDER BY pos) AS said FROM line WHERE level = 0 GROUP BY ALL
+), quote AS (SELECT * FROM passage WHERE level > 0),
+plain AS (SELECT * FROM m WHERE NOT regexp_matches(text, '(?:^|
+)[ 	]*>')),
+original AS (
+  SELECT conv_id, turn, mid, text AS said FROM plain UNION ALL SELECT conv_id, turn, mid, said FROM unquoted
+  UNION ALL SELECT conv_id, turn, mid, said FROM passage WHERE level = 0
+), linkable AS (SELECT * FROM quote WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+source AS (SELECT * FROM original WHERE turn IS NOT NULL AND conv_id IN (SELECT conv_id FROM linkable)),
+asked AS ({keys_sql('linkable', 'conv_id, turn, mid, run, level')}),
+said AS (SELECT DISTINCT conv_id, turn, mid, kind // 2 AS kind, key FROM ({keys_sql('source', 'conv_id, turn, mid')})),
+found AS (
+  SELECT a.*, o.turn AS up_turn, o.mid AS up_mid
+  FROM (SELECT *, row_number() OVER () AS rn FROM asked) a JOIN said o ON o.conv_id = a.conv_id AND o.kind = a.kind // 2 AND o.key = a.key AND o.turn < a.turn
+  QUALIFY row_number() OVER (PARTITION BY rn ORDER BY o.turn DESC, o.mid DESC) = 1
+), vote AS (
+  SELECT conv_id, turn, mid, run, level, up_turn, up_mid, greatest(coalesce(max(weight) FILTER (kind < 2), 0), coalesce(sum(weight) FILTER (kind = 2), 0)) AS evidence FROM found GROUP BY ALL
+), best AS (
+  SELECT * FROM vote QUALIFY row_number() OVER (PARTITION BY conv_id, turn, mid, run, level ORDER BY evidence DESC, up_turn DESC, up_mid) = 1
+), counts AS (SELECT conv_id, turn, mid, count(*) AS n_linked FROM best GROUP BY ALL),
+parent AS (
+  SELECT * FROM best WHERE level = 1 QUALIFY row_number() OVER (PARTITION BY conv_id, turn, mid ORDER BY evidence DESC, up_turn DESC, up_mid) = 1
+), climb AS (
+  SELECT conv_id, turn, mid, up_turn, up_mid, 1 AS depth FROM parent
+  UNION ALL SELECT c.conv_id, c.turn, c.mid, p.up_turn, p.up_mid, c.depth + 1 FROM climb c JOIN parent p ON p.conv_id = c.conv_id AND p.turn = c.up_turn AND p.mid = c.up_mid
+), root AS (SELECT conv_id, turn, mid, max(depth) AS depth, arg_max(up_turn, depth) AS thread FROM climb GROUP BY ALL),
+asks AS (SELECT conv_id, turn, mid, count(*) AS n_quotes FROM quote GROUP BY ALL),
+clean AS (
+  SELECT conv_id, turn, role, mid, text FROM plain UNION ALL
+  SELECT m.conv_id, m.turn, m.role, m.mid, coalesce(u.said, '') FROM (SELECT DISTINCT conv_id, turn, role, mid FROM raw) m
+  LEFT JOIN unquoted u ON u.conv_id IS NOT DISTINCT FROM m.conv_id AND u.turn IS NOT DISTINCT FROM m.turn AND u.mid = m.mid
+)
+SELECT c.conv_id, c.turn, c.role, coalesce(r.thread, c.turn) AS thread, p.up_turn AS parent_turn, coalesce(r.depth, 0) AS depth,
+       coalesce(a.n_quotes, 0) AS n_quotes, coalesce(n.n_linked, 0) AS n_linked, md5(trim(c.text, ' ' || chr(9) || chr(10) || chr(13))) AS text_md5
+FROM clean c
+LEFT JOIN root r ON r.conv_id = c.conv_id AND r.turn = c.turn AND r.mid = c.mid
+LEFT JOIN parent p ON p.conv_id = c.conv_id AND p.turn = c.turn AND p.mid = c.mid
+LEFT JOIN asks a ON a.conv_id IS NOT DISTINCT FROM c.conv_id AND a.turn IS NOT DISTINCT FROM c.turn AND a.mid = c.mid
+LEFT JOIN counts n ON n.conv_id = c.conv_id AND n.turn = c.turn AND n.mid = c.mid
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": SHARDING_SQL, "op2_line_dedup": LINE_DEDUP_SQL, "op4_topk": TOPK_SQL, "op7_decontaminate": DECONTAMINATE_SQL, "op10_jaccard_join": JACCARD_SQL}
+    return {
+        "op1_sharding": SHARDING_SQL, "op2_line_dedup": LINE_DEDUP_SQL, "op4_topk": TOPK_SQL, "op7_decontaminate": DECONTAMINATE_SQL,
+        "op9_quotation_linking": CHAT_SQL, "op10_jaccard_join": JACCARD_SQL,
+    }

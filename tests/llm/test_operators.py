@@ -501,6 +501,98 @@ def test_partial_quotes_of_short_lines_and_without_spaces(spark):
     }
 
 
+def quoting_conversations(seed, n=40):
+    """Messages with the turn of the one that each answers (None: none), known from the making."""
+    rng = random.Random(seed)
+    vocabulary = [f"{c}{v}{d}" for c in "bdfglmnprst" for v in "aeiou" for d in ("k", "nt", "r", "sh")]
+    sentence = lambda: " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(4, 14))).capitalize() + "."
+    rows, parent = [], {}
+    for conv in range(n):
+        said = []  # unquoted lines of each message
+        full = []  # the message as it was sent
+        for turn in range(rng.randrange(4, 14)):
+            own = [sentence() for _ in range(rng.randrange(1, 5))]
+            if rng.random() < 0.1:
+                own.append("Thanks!")
+            kind = rng.choice(["none", "whole", "whole", "nested", "part", "line", "rewrapped", "twice"]) if turn else "none"
+            lines = []
+            up = rng.randrange(len(said)) if said else None
+            if kind == "none":
+                up = None
+            elif kind == "whole":
+                lines = [f"> {x}" for x in said[up]]
+            elif kind == "nested":  # the whole message as sent, its own quotes one level deeper
+                lines = [f">{x}" if x.startswith(">") else f"> {x}" for x in full[up]]
+            elif kind == "line":
+                lines = [f"> {rng.choice([x for x in said[up] if x != 'Thanks!'])}"]
+            elif kind == "twice":  # two passages of one message
+                lines = [f"> {said[up][0]}", "Yes.", f"> {said[up][-1]}"]
+            else:
+                words = " ".join(said[up]).split()
+                if kind == "part" and len(words) > 7:  # a run of words from within
+                    i = rng.randrange(len(words) - 6)
+                    words = words[i : i + rng.randrange(6, 12)]
+                width = rng.randrange(3, 7)
+                lines = ["> " + " ".join(words[i : i + width]) for i in range(0, len(words), width)]
+            if lines and rng.random() < 0.5:
+                lines.insert(0, f"On day {turn} someone wrote:")
+            said.append([*(["Yes."] if kind == "twice" else []), *own])
+            full.append([*lines, *own])
+            parent[conv, turn] = up
+            rows.append((conv, turn, rng.choice(["user", "assistant"]), "\n".join(full[-1])))
+    return rows, parent
+
+
+def test_quotation_linking_finds_known_parents(spark):
+    rows, parent = quoting_conversations(1)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.format_chat(df.repartition(5)).collect()
+    assert len(got) == len(rows)
+    found = {(r["conv_id"], r["turn"]): r["parent_turn"] for r in got}
+    right = sum(found[k] == v for k, v in parent.items() if v is not None)
+    linked, known = sum(v is not None for v in found.values()), sum(v is not None for v in parent.values())
+    print(f"parents {known}, linked {linked}, right {right}")
+    assert right >= 0.95 * known and right >= 0.95 * linked
+    root = {}
+    for k in sorted(parent):
+        root[k] = k[1] if found[k] is None else root[k[0], found[k]]
+    assert all(r["thread"] == root[r["conv_id"], r["turn"]] for r in got)
+    assert not any(x.startswith(">") for r in got for x in r["text"].split("\n"))
+    # Reply order over all partitions.
+    order = [(r["conv_id"], r["thread"], r["turn"]) for r in got]
+    assert order == sorted(order)
+    assert got[0]["rendered"] == f"<|{got[0]['role']}|>\n{got[0]['text']}\n"
+
+
+@pytest.mark.parametrize("bucket", [chat.BUCKET, 2])
+def test_quotation_linking_same_as_sql(spark, bucket, monkeypatch, tmp_path):
+    """Against an independent statement of the rules, with ties, repeats, nulls and long texts."""
+    import duckdb
+
+    from seriesmith.llm import common
+
+    monkeypatch.setattr(chat, "BUCKET", bucket)
+    if bucket == 2:
+        monkeypatch.setattr(common, "HOT_ROWS", 1)
+    rows, _ = quoting_conversations(7, 12)
+    rng = random.Random(3)
+    rows += [(c, t, rng.choice(["user", None]), x) for c, t, _, x in rng.sample(rows, 20)]  # other messages of the same turn
+    rows += [(100, t, "user", "> yes\n> no\nmaybe" if t % 3 else "yes\nno") for t in range(40)]
+    rows += [(101, 0, "a", "w " * 20_000 + "\nend"), (101, 1, "b", "> " + "w " * 30 + "\n>> end\n> end"), (101, 1, "b", "> end"), (101, 2, "c", "on x wrote:\n>\n> \n")]
+    rows += [(None, 1, "a", "> end"), (101, None, "a", "> end"), (102, 1, None, None), (102, 1, "a", ""), (102, 2, "a", "  > deep\n\t> > deeper\n")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(f"file://{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    out = queries.op9_quotation_linking(spark, f"file://{tmp_path}")
+    found = con.execute(queries.CHAT_SQL)
+    names = [c[0] for c in found.description]
+    key = lambda r: tuple((x is not None, x) for x in r)
+    got = sorted((tuple(r[c] for c in names) for r in out.collect()), key=key)
+    assert got == sorted(found.fetchall(), key=key)
+    assert sum(r[names.index("n_linked")] for r in got) > 50
+
+
 # Jaccard join
 
 
