@@ -12,11 +12,13 @@ White space resets the transducer: no piece holds it after another character. A
 text therefore has a short state map: what it adds before its first white space depends on
 the state it starts in (kept as ``head``), the rest does not (``count``), and the state it
 ends in is that of its last open unit (``tail``). Maps compose associatively. Long texts are
-cut into chunks that are mapped in parallel tasks and composed by a prefix scan; within a
-task, units between white space are such maps too and are remembered.
+cut into chunks that are mapped in parallel tasks and composed level by level, ``FOLD``
+neighbours a task; within a task, units between white space are such maps too and are
+remembered.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows stay; an
-empty table gives an empty result; texts of any length are counted whole.
+empty table gives an empty result; texts of any length are counted whole; other columns are
+dropped.
 """
 
 from __future__ import annotations
@@ -30,12 +32,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import stage, text_or_empty
 
 SPACE = "▁"
 LIMIT = 4096
 LONG_CHARS = 1 << 20
 CHUNK_CHARS = 1 << 18
+#: Chunk maps that a task of one level of the scan composes.
+FOLD = 64
 MEMO_UNITS = 500_000
 MAX_STATES = 200_000
 
@@ -300,34 +304,54 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT, long_char
         return transducer_of(shared.value)
 
     def whole(batches):
+        """Counts texts that are not long; long ones go on with their text."""
         import pyarrow as pa
 
         t = get()
         for b in batches:
-            n = pa.array([t.count(x, chunk_chars) for x in b.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), n], names=["doc_id", "n_bytes", "n_tokens"])
+            texts = b.column("text").to_pylist()
+            long = [len(x) > long_chars for x in texts]
+            n = pa.array([None if y else t.count(x, chunk_chars) for x, y in zip(texts, long, strict=True)], pa.int64())
+            rest = pa.array([x if y else None for x, y in zip(texts, long, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("n_bytes"), n, rest], names=["row", "doc_id", "n_bytes", "n_tokens", "text"])
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = get()
         for b in batches:
-            for r in b.itertuples(index=False):
-                m = t.chunk_map((" " if r.chunk == 0 else "") + r.text)
-                yield pd.DataFrame({"row": [r.row], "chunk": [r.chunk], "head": [m.head], "tail": [m.tail], "count": [m.count]})
+            maps = [t.chunk_map((" " if i == 0 else "") + x) for i, x in zip(b["chunk"], b["text"], strict=True)]
+            yield pd.DataFrame({"row": b["row"], "chunk": b["chunk"], "head": [m.head for m in maps], "tail": [m.tail for m in maps], "count": [m.count for m in maps]})
 
     def fold(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+        """Maps of neighbouring chunks as one."""
         t, pdf = get(), pdf.sort_values("chunk")
-        maps = [ChunkMap(h, None if tail is None or tail != tail else tail, int(c)) for h, tail, c in zip(pdf["head"], pdf["tail"], pdf["count"], strict=True)]
-        return pd.DataFrame({"row": [key[0]], "n_tokens": [t.total(t.scan(maps))]})
+        m = t.scan([map_of(*r) for r in pdf[["head", "tail", "count"]].itertuples(index=False)])
+        return pd.DataFrame({"row": [key[0]], "chunk": [key[1]], "head": [m.head], "tail": [m.tail], "count": [m.count]})
+
+    def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = get()
+        for b in batches:
+            yield pd.DataFrame({"row": b["row"], "total": [t.total(map_of(*r)) for r in b[["head", "tail", "count"]].itertuples(index=False)]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    is_long = F.length("text") > long_chars
-    short = rows.where(~is_long).select("doc_id", "n_bytes", "text").mapInArrow(whole, f"doc_id {kind}, n_bytes long, n_tokens long")
-    # The id counts rows in scan order, which is the same again if a task is repeated.
-    long = rows.where(is_long).withColumn("row", F.monotonically_increasing_id())
-    starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk_chars).cast("int"))
-    cut = long.select("row", "text", F.explode(starts).alias("chunk")).select("row", "chunk", F.expr(f"substring(text, chunk * {chunk_chars} + 1, {chunk_chars})").alias("text"))
-    maps = cut.repartition("row", "chunk").mapInPandas(chunks, "row long, chunk int, head string, tail string, count long")
-    totals = maps.groupBy("row").applyInPandas(fold, "row long, n_tokens long")
-    joined = long.select("row", "doc_id", "n_bytes").join(totals, "row").select("doc_id", "n_bytes", "n_tokens")
-    return short.unionByName(joined).withColumn("over_limit", F.col("n_tokens") > limit)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), text_or_empty().alias("text"))
+    # Read once; the rows' numbers are written, so a repeated task can't change them.
+    told = stage(rows.mapInArrow(whole, f"row long, doc_id {kind}, n_bytes long, n_tokens long, text string"), "token-counts")
+    done = told.drop("text")
+    long = told.where("text IS NOT NULL").withColumn("chunks", F.ceil(F.length("text") / chunk_chars).cast("int"))
+    most = long.agg(F.max("chunks")).first()[0]
+    if most:
+        cut = long.select("row", "text", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+        cut = cut.select("row", F.col("chunk").cast("long").alias("chunk"), F.expr(f"substring(text, chunk * {chunk_chars} + 1, {chunk_chars})").alias("text"))
+        maps = cut.repartition("row", "chunk").mapInPandas(chunks, MAP)
+        while most > 1:  # level by level, each in tasks for a few chunks
+            maps = maps.groupBy("row", F.floor(F.col("chunk") / FOLD).alias("chunk")).applyInPandas(fold, MAP)
+            most = -(-most // FOLD)
+        done = done.join(maps.mapInPandas(totals, "row long, total long"), "row", "left").withColumn("n_tokens", F.coalesce("n_tokens", "total"))
+    return done.select("doc_id", "n_bytes", "n_tokens").withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+MAP = "row long, chunk long, head string, tail string, count long"
+
+
+def map_of(head: str, tail: str | None, count: int) -> ChunkMap:
+    return ChunkMap(head, None if tail is None or tail != tail else tail, int(count))

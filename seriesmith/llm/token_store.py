@@ -12,7 +12,7 @@ Defined results: a null text is encoded as empty (the end id alone); rows are or
 id with nulls first, ties by the text; repeated rows stay; an empty table gives no blocks;
 the dictionary is left out (empty bytes) where the sample is too small to train one. Texts
 of any length are encoded whole: they are cut at spaces and line ends for the tokenizer,
-which treats no match across them.
+which treats no match across them. Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ LETTERS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 class Encoder:
-    """Encodes texts word by word with a memo of words' hashes; the ids equal those of whole texts.
+    """Encodes texts word by word with a memo of words, found by hash and then compared; the ids equal those of whole texts.
 
     Valid for tokenizers whose pre-tokenizer drops white space and matches nothing across
     it, as checked by ``splits_at_space``. For the usual lower-casing normaliser and letter
@@ -134,7 +134,21 @@ class Encoder:
         if self.plain is not None:
             data = lower_plain(data, starts, ends)
             joined = data.tobytes()
+        at = self.numbers(joined, data, starts, ends)
+        lengths = self.memo.lengths[at].astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.memo.pool[np.repeat(self.memo.starts[at] - total[:-1], lengths) + np.arange(total[-1])]
+        # A text's words are those that start in it.
+        bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        cuts = total[np.searchsorted(starts, bounds)].tolist()
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] + self.end for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+    def numbers(self, joined: bytes, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The memo's number of each word, known or learned now."""
         hashes = span_hashes(data, starts, ends)
+        spans = lambda rows: [joined[a:b] for a, b in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True)]
         at = self.memo.find(hashes)
         missing = np.flatnonzero(at < 0)
         if len(missing):
@@ -145,17 +159,17 @@ class Encoder:
                 missing = np.arange(len(hashes))
             rows = missing[first]
             for i in range(0, len(new), 20_000):
-                words = [joined[a:b].decode("utf-8") for a, b in zip(starts[rows[i : i + 20_000]].tolist(), ends[rows[i : i + 20_000]].tolist(), strict=True)]
-                self.memo.add(new[i : i + 20_000], self.ids_of_words(words))
+                words = spans(rows[i : i + 20_000])
+                self.memo.add(new[i : i + 20_000], words, self.ids_of_words([w.decode("utf-8") for w in words]))
             at = self.memo.find(hashes)
-        lengths = self.memo.lengths[at].astype(np.int64)
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.memo.pool[np.repeat(self.memo.starts[at] - total[:-1], lengths) + np.arange(total[-1])]
-        # A text's words are those that start in it.
-        bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-        cuts = total[np.searchsorted(starts, bounds)].tolist()
-        raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] + self.end for a, b in zip(cuts, cuts[1:], strict=False)]
+        # A hash finds a word, which must be the same; of words with one hash the others are kept by themselves.
+        other = np.flatnonzero(~self.memo.holds(at, data, starts, ends))
+        if len(other):
+            words = spans(other)
+            new = [w for w in dict.fromkeys(words) if w not in self.memo.clashes]
+            self.memo.add_clashes(new, self.ids_of_words([w.decode("utf-8") for w in new]))
+            at[other] = [self.memo.clashes[w] for w in words]
+        return at
 
 
 def lower_plain(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -175,16 +189,31 @@ def lower_plain(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 class Memo:
-    """64-bit hashes of words -> token ids, in arrays with open addressing."""
+    """64-bit hashes of words -> words and token ids, in arrays with open addressing."""
 
     def __init__(self):
         self.keys, self.values = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
         self.starts, self.lengths, self.pool = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 16, "<u4")
-        self.count = self.used = 0
+        self.places, self.sizes, self.letters = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 16, np.uint8)
+        self.clashes: dict[bytes, int] = {}
+        self.count = self.used = self.written = 0
 
     def __len__(self) -> int:
         return self.count
 
+    def holds(self, at: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether the words of these numbers are those of data between starts and ends."""
+        sizes = ends - starts
+        same = self.sizes[at] == sizes
+        rows = np.flatnonzero(same & (sizes > 0))
+        if len(rows):
+            sizes = sizes[rows]
+            before = np.cumsum(sizes) - sizes
+            step = np.arange(int(sizes.sum()))
+            equal = self.letters[np.repeat(self.places[at[rows]] - before, sizes) + step] == data[np.repeat(starts[rows] - before, sizes) + step]
+            same[rows] = np.logical_and.reduceat(equal, before)
+        return same
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each word, or -1."""
         mask = np.uint64(len(self.keys) - 1)
@@ -200,23 +229,36 @@ class Memo:
             open_ = open_[~hit & (key != 0)]
         return out
 
-    def add(self, hashes: np.ndarray, ids: list[np.ndarray]) -> None:
+    def add(self, hashes: np.ndarray, words: list[bytes], ids: list[np.ndarray]) -> None:
         """hashes: distinct and not yet known."""
-        n, sizes = len(hashes), np.array([len(x) for x in ids], dtype=np.int64)
+        n = len(hashes)
         if 2 * (self.count + n) > len(self.keys):
             known = self.keys != 0
             keys, values = self.keys[known], self.values[known]
             size = 1 << int(4 * (self.count + n)).bit_length()
             self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size, np.int32)
             self.put(keys, values)
-        self.starts, self.lengths = grown(self.starts, self.count + n), grown(self.lengths, self.count + n)
-        self.pool = grown(self.pool, self.used + int(sizes.sum()))
-        self.starts[self.count : self.count + n] = self.used + np.cumsum(sizes) - sizes
-        self.lengths[self.count : self.count + n] = sizes
-        if n:
-            self.pool[self.used : self.used + int(sizes.sum())] = np.concatenate(ids)
         self.put(hashes, np.arange(self.count, self.count + n, dtype=np.int32))
-        self.count, self.used = self.count + n, self.used + int(sizes.sum())
+        self.keep(words, ids)
+
+    def add_clashes(self, words: list[bytes], ids: list[np.ndarray]) -> None:
+        """Words whose hash is another word's."""
+        self.clashes.update(zip(words, range(self.count, self.count + len(words)), strict=True))
+        self.keep(words, ids)
+
+    def keep(self, words: list[bytes], ids: list[np.ndarray]) -> None:
+        n, sizes = len(words), np.array([len(x) for x in ids], dtype=np.int64)
+        letters = np.array([len(x) for x in words], dtype=np.int64)
+        end, last = self.used + int(sizes.sum()), self.written + int(letters.sum())
+        self.starts, self.lengths, self.pool = grown(self.starts, self.count + n), grown(self.lengths, self.count + n), grown(self.pool, end)
+        self.places, self.sizes, self.letters = grown(self.places, self.count + n), grown(self.sizes, self.count + n), grown(self.letters, last)
+        mine = slice(self.count, self.count + n)
+        self.starts[mine], self.lengths[mine] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.places[mine], self.sizes[mine] = self.written + np.cumsum(letters) - letters, letters
+        if n:
+            self.pool[self.used : end] = np.concatenate(ids)
+            self.letters[self.written : last] = np.frombuffer(b"".join(words), np.uint8)
+        self.count, self.used, self.written = self.count + n, end, last
 
     def put(self, keys: np.ndarray, values: np.ndarray) -> None:
         mask = len(self.keys) - 1

@@ -11,8 +11,9 @@ Defined results: vectors that are null, empty, or hold a null or non-finite comp
 no part, neither as queries nor as candidates; rows without an id take no part; vectors
 of different length are never compared; ties go to the smaller id; of rows that repeat an
 id every one is a candidate, the one with the smallest vector is the query, and a query
-skips all rows of its own id; with fewer than k candidates all are returned; an empty
-table gives an empty result.
+skips all rows of its own id; with fewer than k candidates all are returned; components and
+scores beyond 64 bits count as the least or greatest number of 64 bits; an empty table
+gives an empty result; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -46,6 +47,9 @@ def usable(vector: str) -> Column:
     return F.col(vector).isNotNull() & (F.size(vector) > 0) & ~bad
 
 
+LOW, HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+
 def build_tree(x: np.ndarray, leaf: int = LEAF_ROWS) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray]:
     """Order of the rows, then per node its span, centre and radius; children of node k are 2k+1 and 2k+2."""
     order = np.arange(len(x))
@@ -74,13 +78,13 @@ def build_tree(x: np.ndarray, leaf: int = LEAF_ROWS) -> tuple[np.ndarray, list[t
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: through doubles where they can't round, else through Python integers."""
+    """Exact integer inner products: through doubles where they can't round, else through Python integers, up to the ends of 64 bits."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
     if most < 2.0**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
     if most < 2.0**62:
         return q @ c.T
-    return (q.astype(object) @ c.astype(object).T).astype(np.int64)
+    return np.clip(q.astype(object) @ c.astype(object).T, LOW, HIGH).astype(np.int64)
 
 
 class Shard:
@@ -144,9 +148,6 @@ def packed(rows: DataFrame, group: str) -> DataFrame:
     return rows.groupBy("dim", group).applyInPandas(run, f"dim int, {group} int, ids binary, v binary")
 
 
-LOW = np.iinfo(np.int64).min
-
-
 def search_blocks(pairs: DataFrame, k: int, floors_too: bool) -> DataFrame:
     """pairs: rows (block, floors, shard); gives query_id, vec_id, score, and for the first pass only floors count."""
 

@@ -206,7 +206,7 @@ def test_isotonic_is_monotone():
 # Top-k
 
 
-def test_topk_brute_force(spark):
+def test_topk_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(1)
     x = [list(map(float, v)) for v in rng.normal(size=(400, 8)).round(2)]
     x[7] = x[8] = x[9]
@@ -223,6 +223,13 @@ def test_topk_brute_force(spark):
             want[i] = [(n, j, -s) for n, (s, j) in enumerate(best, 1)]
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
+    # Several shards and blocks, and numbers whose products 64 bits can't hold.
+    monkeypatch.setattr(topk, "SHARD_ROWS", 50)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 3)
+    many = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect())
+    assert many == sorted((i, *v) for i, best in got.items() for v in best)
+    wide = spark.createDataFrame([(0, [1e12, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(wide, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, 2**63 - 1), (0, 2, 3, 256 * 256 * 10**12 + 256 * 256), (0, 3, 2, -(2**63))]
     big = np.array([[2**40, 1]])
     assert topk.products(big, np.array([[2**20, 3]]))[0, 0] == 2**60 + 3
 
@@ -270,25 +277,42 @@ def test_token_ids_of_capitals_with_marks():
         assert [encoder.encode(t) for t in texts] == want
 
 
+def test_token_ids_of_words_with_one_hash(monkeypatch):
+    from tokenizers import Tokenizer
+
+    # A hash of two values, so almost all words share one with others.
+    monkeypatch.setattr(token_store, "span_hashes", lambda data, starts, ends: (1 + (ends - starts) % 2).astype(np.uint64))
+    path = queries.vocabulary("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    with open(path, "rb") as f:
+        encoder = token_store.Encoder(f.read(), 2)
+    texts = odd_texts(11)[:-1]
+    texts = [t for t in texts if t]
+    for _ in range(2):
+        assert encoder.encode_many(texts) == [np.array([*own.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for t in texts]
+    assert len(encoder.memo.clashes) > 30
+
+
 def test_token_memo_survives_growth():
     memo = token_store.Memo()
     rng = np.random.default_rng(2)
     keys = np.unique(rng.integers(1, 2**63, 200_000, dtype=np.uint64))
     for part in np.array_split(keys, 7):
-        memo.add(part, [np.array([int(k) & 0xFFFF], "<u4") for k in part])
+        memo.add(part, [b"w"] * len(part), [np.array([int(k) & 0xFFFF], "<u4") for k in part])
     at = memo.find(keys)
     assert (memo.pool[memo.starts[at]] == (keys & np.uint64(0xFFFF)).astype("<u4")).all()
     assert (memo.find(keys + np.uint64(1))[~np.isin(keys + np.uint64(1), keys)] == -1).all()
 
 
-def test_token_counts_equal_the_library(spark):
+def test_token_counts_equal_the_library(spark, monkeypatch):
     import sentencepiece
 
     path = queries.vocabulary("piece_bpe_32k.model")
     own = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = [*odd_texts(6), "<s> </s> ▁▁ x", "a" * 3000, "  lead and  trail   ", "\n\n x\ty 𝔘", "=" * 999]
     df = docs(spark, texts).withColumn("n_tokens", F.lit("clash"))
-    for long_chars, chunk in ((1 << 20, 1 << 18), (20, 7)):
+    for long_chars, chunk, fold in ((1 << 20, 1 << 18, 64), (20, 7, 3)):
+        monkeypatch.setattr(token_counts, "FOLD", fold)
         got = token_counts.token_counts(df, path, 50, long_chars, chunk).orderBy("doc_id").collect()
         want = [(len((t or "").encode()), len(own.encode(t or ""))) for t in texts]
         assert [(r["n_bytes"], r["n_tokens"]) for r in got] == want
