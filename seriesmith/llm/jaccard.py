@@ -72,10 +72,10 @@ FANOUT = 4
 HOT_ROWS = 1_000
 #: Pieces of a sketch or filter are merged within so many groups of tasks, then over these.
 MERGES = 256
-BUNDLE_ROWS = 20_000
+BUNDLE_ROWS = 1_000
 #: Shingles of a bundle that one task may hold.
 BUNDLE_SHINGLES = 8_000_000
-BLOCK_ROWS = 4_000
+BLOCK_ROWS = 500
 
 
 def shingles(text: bytes | None, k: int) -> np.ndarray:
