@@ -94,6 +94,11 @@ def dduration(df: DataFrame, s: Series, x: str, name: str = "duration") -> DataF
     return counted.drop("__new", "__island")
 
 
+def max_duration(df: DataFrame, s: Series, x: str, name: str = "max_duration") -> DataFrame:
+    """The longest duration per key, 0 in a series without drawdown or without values."""
+    return dduration(df, s, x, "__d").groupBy(*s.by).agg(F.greatest(F.max("__d"), F.lit(0)).alias(name))
+
+
 def window_drawdown(s: Series, x: ColumnLike, p: int) -> Column:
     """Struct of the deepest drawdown, the sum of squared drawdowns and the count, in each trailing window with its own peak."""
     v = F.collect_list(na_in(x)).over(s.last(check_period(p)))
@@ -210,14 +215,14 @@ def expshortfall(df: DataFrame, by: list[str], r: str, alpha: float = 0.05, meth
 
         density = NormalDist().pdf(normal_quantile(alpha))
         return df.groupBy(*by).agg((F.avg(d) - deviation(d) * density / alpha).alias(name))
-    at = F.percentile(d, F.lit(alpha)).over(Window.partitionBy(*by))
-    return df.withColumn("__q", at).groupBy(*by).agg(F.avg(F.when(d <= F.col("__q"), d)).alias(name))
+    # One row a key, joined back: aggregates combine ahead of the shuffle.
+    at = df.groupBy(*by).agg(F.percentile(d, F.lit(alpha)).alias("__q"))
+    return df.join(at, by).groupBy(*by).agg(F.avg(F.when(d <= F.col("__q"), d)).alias(name))
 
 
 def tail(df: DataFrame, by: list[str], r: str, alpha: float = 0.05, name: str = "tail") -> DataFrame:
     d = na_in(r)
-    at = F.percentile(d, F.array(F.lit(alpha), F.lit(1 - alpha))).over(Window.partitionBy(*by))
-    q = df.withColumn("__q", at)
+    q = df.join(df.groupBy(*by).agg(F.percentile(d, F.array(F.lit(alpha), F.lit(1 - alpha))).alias("__q")), by)
     low, high = F.avg(F.when(d <= F.element_at("__q", 1), d)), F.avg(F.when(d >= F.element_at("__q", 2), d))
     return q.groupBy(*by).agg(F.when(low != 0, F.try_divide(high, F.abs(low))).alias(name))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .arr import align
 from .math import clamp, if_dense
 from .series import ColumnLike, Series, na_in, paired
 
@@ -96,30 +97,42 @@ def percentiles(x: ColumnLike, qs: list[float]) -> Column:
 # Transforms of a whole series, for withColumn.
 
 
-def zscore(s: Series, x: ColumnLike) -> Column:
+def zscore(s: Series, x: ColumnLike, skipna: bool = True) -> Column:
+    """Without skipna a missing value empties the series."""
     d = na_in(x)
     sd = F.stddev_samp(d).over(s.all)
-    return F.when(sd != 0, F.try_divide(d - F.avg(d).over(s.all), sd))
+    out = F.when(sd != 0, F.try_divide(d - F.avg(d).over(s.all), sd))
+    return out if skipna else F.when(F.count(d).over(s.all) == F.count(F.lit(1)).over(s.all), out)
 
 
-def norminmax(s: Series, x: ColumnLike) -> Column:
+def norminmax(s: Series, x: ColumnLike, skipna: bool = True) -> Column:
+    """Without skipna a missing first value empties the series."""
     d = na_in(x)
     lo, hi = F.min(d).over(s.all), F.max(d).over(s.all)
-    return F.when(hi != lo, F.try_divide(d - lo, hi - lo))
+    out = F.when(hi != lo, F.try_divide(d - lo, hi - lo))
+    return out if skipna else F.when(F.first(d).over(s.upto).isNotNull(), out)
 
 
-def winsorize(s: Series, x: ColumnLike, lower: float = 0.05, upper: float = 0.95) -> Column:
+def per_key(df: DataFrame, s: Series, **made: Column) -> DataFrame:
+    """df with aggregates of each key, which has one row of them, joined back."""
+    found = df.groupBy(*s.by).agg(*[c.alias(n) for n, c in made.items()])
+    return df.join(found, list(s.by))
+
+
+def winsorize(df: DataFrame, s: Series, x: str, lower: float = 0.05, upper: float = 0.95, skipna: bool = True, name: str = "winsorized") -> DataFrame:
+    """df with ``name``: x within its key's bounds. skipna changes nothing: bounds are of the known values, and missing ones stay."""
     if check_q(lower) > check_q(upper):
         raise ValueError("lower must not exceed upper")
     d = na_in(x)
-    at = F.percentile(d, F.array(F.lit(float(lower)), F.lit(float(upper)))).over(s.all)
-    return clamp(d, F.element_at(at, 1), F.element_at(at, 2))
+    held = per_key(df, s, __at=F.percentile(d, F.array(F.lit(float(lower)), F.lit(float(upper)))))
+    return held.withColumn(name, clamp(d, F.element_at("__at", 1), F.element_at("__at", 2))).drop("__at")
 
 
-def mad(df: DataFrame, s: Series, x: str, name: str = "mad") -> DataFrame:
-    """Mean absolute deviation about the mean per key: a window pass, then an aggregate on the same partitioning."""
+def mad(df: DataFrame, s: Series, x: str, name: str = "mad", skipna: bool = True) -> DataFrame:
+    """Mean absolute deviation about the mean per key: two aggregates, combined ahead of the shuffle. Without skipna a missing value empties it."""
     d = na_in(x)
-    return df.withColumn("__d", F.abs(d - F.avg(d).over(s.all))).groupBy(*s.by).agg(F.avg("__d").alias(name))
+    held = per_key(df, s, __m=F.avg(d))
+    return held.groupBy(*s.by).agg(if_dense(F.avg(F.abs(d - F.col("__m"))), skipna, x).alias(name))
 
 
 # Rolling.
@@ -146,12 +159,21 @@ def rollcovar(s: Series, x: ColumnLike, y: ColumnLike, p: int, ddof: float = 1)
     return s.warm(F.when(n >= check_ddof(ddof) + 1, F.covar_pop(a, b).over(s.last(p)) * n / (n - ddof)), p)
 
 
-def rollcorr(s: Series, x: ColumnLike, y: ColumnLike, p: int) -> Column:
-    """Covariance of pairs over the product of each series' own deviation."""
-    sd = rollstdev(s, x, p) * rollstdev(s, y, p)
+def rollcorr(s: Series, x: ColumnLike, y: ColumnLike, p: int, skipna: bool = True) -> Column:
+    """Covariance of pairs over the product of each series' own deviation; skipna holds for the deviations."""
+    sd = rollstdev(s, x, p, skipna=skipna) * rollstdev(s, y, p, skipna=skipna)
     return F.when(sd > 1e-12, F.try_divide(rollcovar(s, x, y, p), sd))
 
 
+def rollcorr_of(a: DataFrame, b: DataFrame, s: Series, x: str, y: str, p: int, skipna: bool = True, out_length: str = "min", name: str = "rollcorr") -> DataFrame:
+    """rollcorr of x in a with y in b, joined by key and order; out_length: the rows of the shorter series (min) or of the longer (max)."""
+    if out_length not in ("min", "max"):
+        raise ValueError("out_length must be min or max")
+    keys = [*s.by, *s.order]
+    both = align(a.select(*keys, x), b.select(*keys, y), keys, "inner" if out_length == "min" else "full")
+    return both.withColumn(name, rollcorr(s, x, y, p, skipna))
+
+
 def rollmedian(s: Series, x: ColumnLike, p: int) -> Column:
     return s.warm(F.percentile(na_in(x), F.lit(0.5)).over(s.last(p)), p)
 

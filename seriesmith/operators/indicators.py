@@ -66,16 +66,20 @@ def ao(s: Series, h: ColumnLike, l: ColumnLike, short: int = 5, long: int = 34,
     return s.dense(s.warm(sma(s, mid, short) - sma(s, mid, long), long), skipna, h, l)
 
 
-def aroon(s: Series, h: ColumnLike, l: ColumnLike, p: int) -> list[Column]:  # noqa: E741
-    """Up and down. A row's value looks one row ahead, so the last row has none; any missing value empties the series."""
+def aroon(s: Series, h: ColumnLike, l: ColumnLike, p: int, skipna: bool = True) -> list[Column]:  # noqa: E741
+    """Up and down. A row's value looks one row ahead, so the last row has none.
+
+    With skipna any missing value empties the series; without, missing values are passed over.
+    """
     a, b = na_in(h), na_in(l)
-    bad = F.max((a.isNull() | b.isNull())).over(s.all)
     w = s.between(-check_period(p) + 1, 1)
     full = (s.rn >= p) & F.lead(F.lit(1)).over(s.w).isNotNull()
+    if skipna:
+        full = full & ~F.max(a.isNull() | b.isNull()).over(s.all)
 
     def age(best: Column) -> Column:
-        at = F.max_by(s.pos, F.struct(best, s.pos)).over(w)
-        return F.when(full & ~bad, 100.0 * (p - (s.rn - at)) / p)
+        at = F.max_by(s.pos, F.when(best.isNotNull(), F.struct(best, s.pos))).over(w)
+        return F.when(full, 100.0 * (p - (s.rn - at)) / p)
 
     return [age(a), age(-b)]
 
@@ -236,11 +240,20 @@ def pnvi(s: Series, c: ColumnLike, v: ColumnLike, start: float = 1000) -> list[C
     return out
 
 
-def wad(s: Series, h: ColumnLike, l: ColumnLike, c: ColumnLike) -> Column:  # noqa: E741
+def wad(s: Series, h: ColumnLike, l: ColumnLike, c: ColumnLike, skipna: bool = True) -> Column:  # noqa: E741
+    """Rows with a missing value, or after a missing close, have none and add nothing.
+
+    Without skipna a close that is missing, or follows one, adds 0, and a missing bound that is
+    needed empties the rest.
+    """
     a, b, x = na_in(h), na_in(l), na_in(c)
     prior = s.lag(x)
-    step = F.when(x > prior, x - strict_min(b, prior)).when(x < prior, x - strict_max(a, prior)).when((x == prior) & a.isNotNull() & b.isNotNull(), 0.0)
-    step = F.when(a.isNotNull() & b.isNotNull(), step)
+    step = F.when(x > prior, x - strict_min(b, prior)).when(x < prior, x - strict_max(a, prior))
+    if not skipna:
+        step = step.when((x == prior) | x.isNull() | prior.isNull(), 0.0)
+        lost = F.max(step.isNull()).over(s.upto)
+        return F.when((s.rn > 1) & ~lost, F.sum(step).over(s.upto))
+    step = F.when(a.isNotNull() & b.isNotNull(), step.when(x == prior, 0.0))
     return F.when(step.isNotNull(), F.sum(step).over(s.upto))
 
 

@@ -51,6 +51,14 @@ class Rma:
         return self.value
 
 
+def emptied(out: np.ndarray, skipna: bool, *xs: np.ndarray) -> np.ndarray:
+    """out, and without skipna nothing from the first missing input on."""
+    bad = np.flatnonzero(np.isnan(sum(xs)))
+    if not skipna and len(bad):
+        out[bad[0] :] = NAN
+    return out
+
+
 def each(f, *xs: np.ndarray) -> np.ndarray:
     """f over the rows where all xs are known; NaN elsewhere."""
     out = np.full(len(xs[0]), NAN)
@@ -126,7 +134,7 @@ def t3(x: np.ndarray, p: int, factor: float = 0.7) -> np.ndarray:
     return out
 
 
-def kama(x: np.ndarray, p: int, fast: int = 2, slow: int = 30) -> np.ndarray:
+def kama(x: np.ndarray, p: int, fast: int = 2, slow: int = 30, skipna: bool = True) -> np.ndarray:
     check(p, fast, slow)
     out = np.full(len(x), NAN)
     rows = np.flatnonzero(~np.isnan(x))
@@ -141,16 +149,16 @@ def kama(x: np.ndarray, p: int, fast: int = 2, slow: int = 30) -> np.ndarray:
         ratio = abs(v[i] - v[i - p]) / path if path else 0.0
         value += (ratio * (hi - lo) + lo) ** 2 * (v[i] - value)
         out[rows[i]] = value
-    return out
+    return emptied(out, skipna, x)
 
 
-def rma(x: np.ndarray, p: int) -> np.ndarray:
+def rma(x: np.ndarray, p: int, skipna: bool = True) -> np.ndarray:
     check(p)
     r = Rma(p)
-    return each(r.push, x)
+    return emptied(each(r.push, x), skipna, x)
 
 
-def rsi(x: np.ndarray, p: int) -> np.ndarray:
+def rsi(x: np.ndarray, p: int, skipna: bool = True) -> np.ndarray:
     """Changes are from the last known value."""
     check(p)
     gain, loss, before = Rma(p), Rma(p), NAN
@@ -163,7 +171,7 @@ def rsi(x: np.ndarray, p: int) -> np.ndarray:
         g, b = gain.push(max(d, 0.0)), loss.push(max(-d, 0.0))
         return NAN if isnan(g) else 100.0 if b == 0 else 100 - 100 / (1 + g / b)
 
-    return each(step, x)
+    return emptied(each(step, x), skipna, x)
 
 
 def stochrsi(x: np.ndarray, p: int) -> np.ndarray:
@@ -218,7 +226,7 @@ def macd(x: np.ndarray, short: int, long: int, signal: int) -> list[np.ndarray]:
     return list(out)
 
 
-def adosc(h: np.ndarray, l: np.ndarray, c: np.ndarray, v: np.ndarray, short: int, long: int) -> np.ndarray:  # noqa: E741
+def adosc(h: np.ndarray, l: np.ndarray, c: np.ndarray, v: np.ndarray, short: int, long: int, skipna: bool = True) -> np.ndarray:  # noqa: E741
     check(short, long)
     if short >= long:
         raise ValueError("short must be less than long")
@@ -230,7 +238,7 @@ def adosc(h: np.ndarray, l: np.ndarray, c: np.ndarray, v: np.ndarray, short: int
         d = a.push(total) - b.push(total)
         return d if b.ready else NAN
 
-    return each(step, h, l, c, v)
+    return emptied(each(step, h, l, c, v), skipna, h, l, c, v)
 
 
 def true_range(h: np.ndarray, l: np.ndarray, c: np.ndarray) -> np.ndarray:  # noqa: E741
@@ -257,7 +265,10 @@ def keltner(h: np.ndarray, l: np.ndarray, c: np.ndarray, p: int, mult: float = 2
 
 
 def directional(h: np.ndarray, l: np.ndarray, c: np.ndarray, p: int) -> dict[str, np.ndarray]:  # noqa: E741
-    """plus, minus, dx, adx, adxr; a missing value empties the rows after it."""
+    """plus, minus, dx, adx, adxr; a missing value empties the rows after it.
+
+    Where plus and minus are both 0, dx is 0 / 0 and so missing, and there is no adx from there on.
+    """
     check(p)
     n = len(h)
     out = {k: np.full(n, NAN) for k in ("plus", "minus", "dx", "adx", "adxr")}
@@ -274,7 +285,7 @@ def directional(h: np.ndarray, l: np.ndarray, c: np.ndarray, p: int) -> dict[str
         if i >= p - 1 and s_true:
             a, b = 100 * s_plus / s_true, 100 * s_minus / s_true
             out["plus"][i], out["minus"][i] = a, b
-            out["dx"][i] = 100 * abs(a - b) / (a + b) if a + b else NAN if isnan(a + b) else 0.0
+            out["dx"][i] = 100 * abs(a - b) / (a + b) if a + b else NAN
     dx, adx = out["dx"], out["adx"]
     if n > 2 * p - 2:
         adx[2 * p - 2] = dx[p - 1 : 2 * p - 1].mean()
@@ -284,20 +295,22 @@ def directional(h: np.ndarray, l: np.ndarray, c: np.ndarray, p: int) -> dict[str
     return out
 
 
-def psar(h: np.ndarray, l: np.ndarray, step: float = 0.02, most: float = 0.2) -> np.ndarray:  # noqa: E741
-    if step > most:
-        raise ValueError("step must not exceed the maximum")
+def psar(h: np.ndarray, l: np.ndarray, step: float = 0.02, most: float = 0.2, skipna: bool = True) -> np.ndarray:  # noqa: E741
+    """Rows with a missing value are passed over; without skipna they count, and no comparison with a missing value holds."""
+    if step <= 0 or step > most:
+        raise ValueError("step must be positive and not exceed the maximum")
     out = np.full(len(h), NAN)
-    rows = np.flatnonzero(~(np.isnan(h) | np.isnan(l)))
+    rows = np.flatnonzero(~(np.isnan(h) | np.isnan(l))) if skipna else np.arange(len(h))
     if len(rows) < 2:
         return out
     hi, lo = h[rows].tolist(), l[rows].tolist()
     long = hi[0] + lo[0] <= hi[1] + lo[1]
     sar, best, af = (lo[0], hi[0], step) if long else (hi[0], lo[0], step)
     for k in range(1, len(rows)):
-        one, two = k - 1, max(0, k - 2)
         nxt = sar + af * (best - sar)
-        nxt = min(nxt, lo[one], lo[two]) if long else max(nxt, hi[one], hi[two])
+        for bound in (max(0, k - 2), k - 1):
+            if lo[bound] < nxt if long else hi[bound] > nxt:
+                nxt = lo[bound] if long else hi[bound]
         if hi[k] > best if long else lo[k] < best:
             best, af = hi[k] if long else lo[k], min(af + step, most)
         if lo[k] < nxt if long else hi[k] > nxt:

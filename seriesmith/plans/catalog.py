@@ -24,7 +24,7 @@ from . import recursive
 S = Series(["k"], ["pos"])
 
 PRELUDE = """bars AS (
-  SELECT event_type AS k, date_trunc('hour', ts) AS bar, arg_min(value, ts) AS o, max(value) AS h, min(value) AS l, arg_max(value, ts) AS c, count(*)::DOUBLE AS v
+  SELECT event_type AS k, date_trunc('hour', ts) AS bar, arg_min(value, (ts, value)) AS o, max(value) AS h, min(value) AS l, arg_max(value, (ts, value)) AS c, count(*)::DOUBLE AS v
   FROM events GROUP BY 1, 2
 ), placed AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY bar) - 1 AS pos, o, h, l, c, v FROM bars
 ), s AS (
@@ -114,6 +114,10 @@ WMA = lambda x, p: f"CASE WHEN pos >= {p - 1} THEN ({' + '.join(f'{p - i} * coal
 M3 = lambda e, p: f"sum({e}) {roll(p)} / nullif(count({e}) {roll(p)}, 0)"
 
 
+def ieee(a: str, b: str) -> str:
+    return f"CASE WHEN {b} <> 0 THEN {a} / {b} WHEN {b} = 0 AND {a} > 0 THEN 'inf'::DOUBLE WHEN {b} = 0 AND {a} < 0 THEN '-inf'::DOUBLE END"
+
+
 def central(x: str, over: str, power: int) -> str:
     return f"list_avg([(e - m) ** {power} for e in q])"
 
@@ -137,7 +141,7 @@ def entries() -> dict[str, Entry]:
     # math, element by element
     for n, f, q in (("add", math.add, "x + y"), ("sub", math.sub, "x - y"), ("mul", math.mul, "x * y"), ("avg", math.avg, "(x + y) / 2")):
         e[f"math_{n}"] = row(lambda f=f: f("x", "y"), q)
-    e["math_div"] = row(lambda: F.when(F.abs(div("x", c("v") - 1)) < 1e300, div("x", c("v") - 1)), "CASE WHEN v <> 1 THEN x / (v - 1) END")
+    e["math_div"] = row(lambda: div("x", c("v") - 1), ieee("x", "(v - 1)"))
     e["math_scale"] = row(lambda: math.scale("x", 2.5), "x * 2.5")
     e["math_clamp"] = row(lambda: math.clamp("x", 20, 60), "CASE WHEN x < 20 THEN 20 WHEN x > 60 THEN 60 ELSE x END")
     e["math_abs"] = row(lambda: math.abs_(c("x") - 50), "abs(x - 50)")
@@ -193,12 +197,14 @@ def entries() -> dict[str, Entry]:
     # stats, whole series and rolling
     e["stats_zscore"] = row(lambda: stats.zscore(S, "x"), "(x - avg(x) OVER wa) / stddev_samp(x) OVER wa")
     e["stats_norminmax"] = row(lambda: stats.norminmax(S, "x"), "(x - min(x) OVER wa) / (max(x) OVER wa - min(x) OVER wa)")
-    e["stats_winsorize"] = row(lambda: stats.winsorize(S, "x"), "CASE WHEN x < lo THEN lo WHEN x > hi THEN hi ELSE x END", {"lo": "quantile_cont(x, 0.05) OVER wa", "hi": "quantile_cont(x, 0.95) OVER wa"})
+    e["stats_zscore_dense"] = many("gaps whole", lambda: [stats.zscore(S, "x", skipna=False), stats.zscore(S, "c", skipna=False)], ["CASE WHEN count(x) OVER wa = count(*) OVER wa THEN (x - avg(x) OVER wa) / stddev_samp(x) OVER wa END", "(c - avg(c) OVER wa) / stddev_samp(c) OVER wa"])
+    e["stats_norminmax_dense"] = many("later first", lambda: [stats.norminmax(S, "x", skipna=False), stats.norminmax(S, "r", skipna=False)], ["(x - min(x) OVER wa) / (max(x) OVER wa - min(x) OVER wa)", "NULL"])
     e["stats_rollmean"] = row(lambda: stats.rollmean(S, "x", P), warm(f"avg(x) {R}", P))
     e["stats_rollvar"] = row(lambda: stats.rollvar(S, "x", P), warm(f"var_samp(x) {R}", P))
     e["stats_rollstdev"] = row(lambda: stats.rollstdev(S, "x", P, 0), warm(f"stddev_pop(x) {R}", P))
     e["stats_rollcovar"] = row(lambda: stats.rollcovar(S, "x", "y", P), warm(f"covar_samp(px, py) {R}", P), PAIR)
     e["stats_rollcorr"] = row(lambda: stats.rollcorr(S, "x", "y", P), warm(f"covar_samp(px, py) {R} / (stddev_samp(x) {R} * stddev_samp(y) {R})", P), PAIR)
+    e["stats_rollcorr_dense"] = row(lambda: stats.rollcorr(S, "c", "y", 8, skipna=False), f"CASE WHEN pos BETWEEN 7 AND 11 THEN covar_samp(c, y) {roll(8)} / (stddev_samp(c) {roll(8)} * stddev_samp(y) {roll(8)}) END")
     e["stats_rollmedian"] = row(lambda: stats.rollmedian(S, "x", P), warm(f"quantile_cont(x, 0.5) {R}", P))
     ordered = {"q": f"list_sort(list(x) FILTER (x IS NOT NULL) {R})"}
     e["stats_rollquantile"] = row(lambda: stats.rollquantile(S, "x", P, 0.9), warm("CASE WHEN len(q) % 2 = 1 THEN q[1 + floor((len(q) - 1) * 0.9)::INT] ELSE (q[1 + floor((len(q) - 1) * 0.9)::INT] + q[2 + floor((len(q) - 1) * 0.9)::INT]) / 2 END", P), ordered)
@@ -216,9 +222,11 @@ def entries() -> dict[str, Entry]:
     e["ta_ao"] = row(lambda: ta.ao(S, "h", "l"), warm(f"avg(m) {roll(5)} - avg(m) {roll(34)}", 34), {"m": "(h + l) / 2"})
     six = roll(6, 4).replace("CURRENT ROW", "1 FOLLOWING")
     e["ta_aroon"] = many("up down", lambda: ta.aroon(S, "h", "l", 5), [f"CASE WHEN pos >= 4 AND lead(pos) OVER w IS NOT NULL THEN 100.0 * (5 - (pos + 1 - arg_max(pos, ({x}, pos)) {six})) / 5 END" for x in ("h", "-l")])
+    seen = lambda x: f"arg_max(pos, ({x}, pos)) FILTER ({x} IS NOT NULL) {six}"
+    e["ta_aroon_dense"] = many("up down", lambda: ta.aroon(S, "y", "x", 5, skipna=False), [f"CASE WHEN pos >= 4 AND lead(pos) OVER w IS NOT NULL THEN 100.0 * (5 - (pos + 1 - {seen(x)})) / 5 END" for x in ("y", "-x")])
     before = "lag(x, 10) OVER w"
-    e["ta_change"] = row(lambda: F.when(F.abs(ta.change(S, "x", 10)) < 1e300, ta.change(S, "x", 10)), f"CASE WHEN {before} <> 0 THEN (x - {before}) / {before} END")
-    e["ta_roc"] = row(lambda: F.when(F.abs(ta.roc(S, "x", 10)) < 1e300, ta.roc(S, "x", 10)), f"CASE WHEN {before} <> 0 THEN 100 * (x - {before}) / {before} END")
+    e["ta_change"] = row(lambda: ta.change(S, "x", 10), ieee(f"(x - {before})", before))
+    e["ta_roc"] = row(lambda: ta.roc(S, "x", 10), ieee(f"(100 * (x - {before}))", before))
     e["ta_mom"] = row(lambda: ta.mom(S, "x", 10), f"x - {before}")
     e["ta_cmo"] = row(lambda: ta.cmo(S, "x", 14), f"CASE WHEN pos >= 14 THEN 100 * (sum(greatest(d, 0)) {roll(14)} - sum(greatest(-d, 0)) {roll(14)}) / sum(abs(d)) {roll(14)} END", {"e": "x - lag(x) OVER w"}, {"d": "CASE WHEN e IS NOT NULL THEN e END"})
     e["ta_cmo"].sql = {"value": f"CASE WHEN pos >= 14 THEN 100 * (sum(CASE WHEN e > 0 THEN e WHEN e IS NOT NULL THEN 0 END) {roll(14)} - sum(CASE WHEN e < 0 THEN -e WHEN e IS NOT NULL THEN 0 END) {roll(14)}) / sum(abs(e)) {roll(14)} END"}
@@ -246,6 +254,8 @@ def entries() -> dict[str, Entry]:
     up = {"pc": "lag(c) OVER w", "pv": "lag(v) OVER w"}
     e["ta_pnvi"] = many("pvi nvi", lambda: ta.pnvi(S, c("c") + 1000, "v"), [f"1000 * product(CASE WHEN v {s} pv THEN (c + 1000) / (pc + 1000) ELSE 1 END) OVER wc" for s in (">", "<")], up)
     e["ta_wad"] = row(lambda: ta.wad(S, "h", "l", "c"), "CASE WHEN pos > 0 THEN sum(CASE WHEN c > pc THEN c - least(l, pc) WHEN c < pc THEN c - greatest(h, pc) ELSE 0 END) OVER wc END", up)
+    loose = {"pc": "lag(x) OVER w", "lost": "CASE WHEN (x > lag(x) OVER w AND l IS NULL) OR (x < lag(x) OVER w AND y IS NULL) THEN 1 END"}
+    e["ta_wad_dense"] = row(lambda: ta.wad(S, "y", "l", "x", skipna=False), "CASE WHEN pos > 0 AND count(lost) OVER wc = 0 THEN sum(CASE WHEN x > pc THEN x - least(l, pc) WHEN x < pc THEN x - greatest(y, pc) ELSE 0 END) OVER wc END", loose)
     e["ta_mfi"] = row(lambda: ta.mfi(S, "h", "l", "c", "v", 14), f"CASE WHEN pos >= 14 THEN CASE WHEN sum(a) {roll(14)} + sum(b) {roll(14)} = 0 THEN 50 WHEN sum(b) {roll(14)} = 0 THEN 100 ELSE 100 - 100 / (1 + sum(a) {roll(14)} / sum(b) {roll(14)}) END END", {"t": tp}, {"pt": "lag(t) OVER w"}, {"a": "CASE WHEN t > pt THEN t * v ELSE 0 END", "b": "CASE WHEN t < pt THEN t * v ELSE 0 END"})
     # signals
     for n, f, op, m in (("rising", ta.rising, ">", "max"), ("falling", ta.falling, "<", "min")):
@@ -288,6 +298,27 @@ def frames() -> dict[str, tuple[Callable[[DataFrame], DataFrame], str | None]]:
     out: dict[str, tuple[Callable[[DataFrame], DataFrame], str | None]] = {
         "arr_dropna": (lambda df: arr.dropna(df, "x").select("k", "pos", shown(F.col("x")).alias("value")), f"WITH {PRELUDE} SELECT k, pos, {shown_sql('x')} AS value FROM s WHERE x IS NOT NULL"),
         "arr_align": (lambda df: arr.align(df.select("k", "pos", "x"), df.where("pos < 50").select("k", "pos", "y"), ["k", "pos"], "left").select("k", "pos", shown(F.col("x") - F.col("y")).alias("value")), f"WITH {PRELUDE} SELECT k, pos, {shown_sql('CASE WHEN pos < 50 THEN x - y END')} AS value FROM s"),
+        "stats_winsorize": (
+            lambda df: stats.winsorize(df, S, "x", name="value").select("k", "pos", shown(F.col("value")).alias("value")),
+            f"WITH {PRELUDE}, q AS (SELECT k, quantile_cont(x, 0.05) AS lo, quantile_cont(x, 0.95) AS hi FROM s GROUP BY k) SELECT k, pos, {shown_sql('CASE WHEN x < lo THEN lo WHEN x > hi THEN hi ELSE x END')} AS value FROM s JOIN q USING (k)",
+        ),
+        "stats_mad_dense": (
+            lambda df: stats.mad(df, S, "x", "gaps", skipna=False).join(stats.mad(df, S, "c", "whole", skipna=False), "k").select("k", shown(F.col("gaps")).alias("gaps"), shown(F.col("whole")).alias("whole")),
+            f"WITH {PRELUDE}, t AS (SELECT k, abs(c - avg(c) OVER wa) AS d FROM s {W}) SELECT k, NULL::DOUBLE AS gaps, {shown_sql('avg(d)')} AS whole FROM t GROUP BY k",
+        ),
+        "stats_rollcorr_lengths": (
+            lambda df: stats.rollcorr_of(df, df.where("pos < 30"), S, "x", "y", P, out_length="min", name="value").withColumn("kind", F.lit("min"))
+            .unionByName(stats.rollcorr_of(df, df.where("pos < 30"), S, "x", "y", P, out_length="max", name="value").withColumn("kind", F.lit("max")))
+            .select("k", "pos", "kind", shown(F.col("value")).alias("value")),
+            f"""WITH {PRELUDE}, a AS (SELECT k, pos, x, CASE WHEN pos < 30 THEN y END AS y FROM s),
+            b AS (SELECT *, {', '.join(f'{v} AS {n}' for n, v in PAIR.items())} FROM a),
+            t AS (SELECT *, {warm(f'CASE WHEN stddev_samp(x) {R} * stddev_samp(y) {R} > 1e-12 THEN covar_samp(px, py) {R} / (stddev_samp(x) {R} * stddev_samp(y) {R}) END', P)} AS e FROM b)
+            SELECT k, pos, 'min' AS kind, {shown_sql('e')} AS value FROM t WHERE pos < 30 UNION ALL SELECT k, pos, 'max', {shown_sql('e')} FROM t""",
+        ),
+        "perf_max_duration": (
+            lambda df: perf.max_duration(df, S, "x", "value").select("k", F.col("value").cast("long").alias("value")),
+            f"WITH {PRELUDE}{high}, i AS (SELECT *, sum(new) OVER wc AS island FROM n {W}) SELECT k, coalesce(max(n), 0)::BIGINT AS value FROM (SELECT k, count(x) - 1 AS n FROM i WHERE x IS NOT NULL GROUP BY k, island) GROUP BY k",
+        ),
         "stats_mad": (lambda df: value(stats.mad(df, S, "x", "value")), one("avg(abs(d))", f", t AS (SELECT *, x - avg(x) OVER wa AS d FROM s {W})")),
         "perf_maxdd": (lambda df: value(perf.maxdd(df, S, "x", "value")), one("-min(dd)", dd)),
         "perf_ulcer": (lambda df: value(perf.ulcer(df, S, "x", "value")), one("sqrt(avg(dd * dd))", dd)),
@@ -328,7 +359,8 @@ RECURRENCES = {
     "ta_apo": Spec("apo", ("x",), (12, 26)), "ta_ppo": Spec("ppo", ("x",), (12, 26)), "ta_macd": Spec("macd", ("x",), (12, 26, 9)),
     "ta_adosc": Spec("adosc", ("h", "l", "c", "v"), (3, 10)), "ta_atr": Spec("atr", ("h", "l", "c"), (14,)), "ta_natr": Spec("natr", ("h", "l", "c"), (14,)),
     "ta_keltner": Spec("keltner", ("h", "l", "c"), (20, 2.0)), "ta_directional": Spec("directional", ("h", "l", "c"), (14,)),
-    "ta_psar": Spec("psar", ("h", "l"), (0.02, 0.2)), "ta_supertrend": Spec("supertrend", ("h", "l", "c"), (10, 3.0)),
+    "ta_psar": Spec("psar", ("h", "l"), (0.02, 0.2)), "ta_psar_dense": Spec("psar", ("y", "l"), (0.02, 0.2, False)),
+    "ta_kama_dense": Spec("kama", ("y",), (4, 2, 30, False)), "ta_rma_dense": Spec("rma", ("y",), (5, False)), "ta_rsi_dense": Spec("rsi", ("y",), (5, False)), "ta_adosc_dense": Spec("adosc", ("y", "l", "c", "v"), (3, 10, False)), "ta_supertrend": Spec("supertrend", ("h", "l", "c"), (10, 3.0)),
 }
 
 

@@ -11,10 +11,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bars(events: DataFrame, unit: str = "hour", by: str = "event_type", ts: str = "ts", value: str = "value") -> DataFrame:
-    """Open, high, low, close and volume (rows) per key and unit of time; one shuffle, combined map-side."""
+    """Open, high, low, close and volume (rows) per key and unit of time; one shuffle, combined map-side.
+
+    Of rows with one time the least value opens and the greatest closes.
+    """
     at = F.date_trunc(unit, F.col(ts))
     return events.groupBy(F.col(by).alias("k"), at.alias("bar")).agg(
-        F.min_by(value, ts).alias("o"), F.max(value).alias("h"), F.min(value).alias("l"), F.max_by(value, ts).alias("c"), F.count("*").cast("double").alias("v")
+        F.min(F.struct(ts, value))[value].alias("o"), F.max(value).alias("h"), F.min(value).alias("l"), F.max(F.struct(ts, value))[value].alias("c"), F.count("*").cast("double").alias("v")
     )
 
 

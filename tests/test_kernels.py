@@ -78,10 +78,37 @@ def test_directional_by_sums():
 
 
 def test_psar_stays_outside():
+    """On the side of the bars that its trend has: below both lows or above both highs, and it changes sides where a bar reaches it."""
     out = K.psar(H, L)
     assert not np.isnan(out[1:]).any()
+    below, above = out[1:] <= L[1:] + 1e-12, out[1:] >= H[1:] - 1e-12
+    assert (below | above).all() and below.any() and above.any()
     with pytest.raises(ValueError):
         K.psar(H, L, 0.3, 0.2)
+    # By hand: up from 1 with the extreme 2, then a low under the stop turns it to the extreme.
+    got = K.psar(np.array([2.0, 3.0, 4.0, 3.0]), np.array([1.0, 2.0, 3.0, 0.5]), 0.1, 0.2)
+    close(got, [np.nan, 1.0, 1.0 + 0.2 * (3 - 1.0) - 0.4, 4.0])
+
+
+def test_without_skipping_the_first_gap_ends_it():
+    first = 16
+    for f, args in ((K.kama, (5, 2, 30)), (K.rma, (5,)), (K.rsi, (5,))):
+        out = f(GAPPED, *args, False)
+        close(out[:first], f(C, *args)[:first])
+        assert np.isnan(out[first:]).all()
+    v = np.ones(300)
+    out = K.adosc(H, L, GAPPED, v, 3, 10, False)
+    close(out[:first], K.adosc(H, L, C, v, 3, 10)[:first])
+    assert np.isnan(out[first:]).all()
+    # The stop is carried over a gap, with which no comparison holds.
+    gap = np.array([2.0, 3.0, np.nan, 4.0])
+    close(K.psar(gap, np.array([1.0, 2.0, 2.5, 3.0]), 0.1, 0.2, False)[1:3], [1.0, 1.0 + 0.2 * 2 - 0.4])
+
+
+def test_flat_bars_have_no_direction():
+    flat = np.full(40, 5.0)
+    d = K.directional(flat + 1, flat - 1, flat, 5)
+    assert (d["plus"][4:] == 0).all() and np.isnan(d["dx"]).all() and np.isnan(d["adx"]).all()
 
 
 def test_supertrend_follows_bands():

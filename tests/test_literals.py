@@ -76,6 +76,11 @@ def test_aggregates(spark):
     assert reduced(spark, math.argmin("x", "pos"), x=[N, N]) == -1
     assert reduced(spark, math.norm("x", inf), x=[-3, 2]) == 3
     assert stats.mad(frame(spark, x=[N, 1, 2]), S, "x").first()["mad"] == 0.5
+    assert stats.mad(frame(spark, x=[N, 1, 2]), S, "x", skipna=False).first()["mad"] is None
+    kept = stats.winsorize(frame(spark, x=[N, 0, 1, 2, 3, 100]), S, "x", 0.25, 0.75).orderBy("pos").collect()
+    assert [r["winsorized"] for r in kept] == [None, 1, 1, 2, 3, 3]
+    assert run(spark, stats.zscore(S, "x", skipna=False), x=[N, 1, 3]) == [None, None, None]
+    assert run(spark, stats.norminmax(S, "x", skipna=False), x=[1, N, 3]) == [0, None, 1]
     assert math.ols_multi(frame(spark, x=[1, 2, 3], y=[3, 5, 7]), ["k"], ["x"], "y").first()["coefficients"] == pytest.approx([1, 2])
     assert math.ols_multi(frame(spark, x=[1, 1, 1], y=[3, 5, 7]), ["k"], ["x"], "y").first()["coefficients"] is None
     assert run(spark, stats.norminmax(S, "x"), x=[N, 1, 3, N]) == [None, 0, 1, None]
@@ -84,6 +89,9 @@ def test_aggregates(spark):
 def test_indicators(spark):
     assert run(spark, ta.rising(S, "x", 3), x=[1, N, 3, 4, 5]) == [0, 0, 0, 1, 1]
     assert run(spark, ta.cross(S, "x", 1), ta.crossover(S, "x", 1), ta.crossunder(S, "x", 1), x=[1, 2, 0, 3]) == [[0, 1, 1, 1], [0, 1, 0, 1], [0, 0, 1, 0]]
+    assert run(spark, ta.cross(S, "x", "y", lambda x, px, y, py: (x >= y) & (px < py)), x=[1, 2, 3, 1], y=[2, 2, 2, 2]) == [0, 1, 0, 0]
+    assert run(spark, ta.wad(S, "h", "l", "c", skipna=False), h=[1, 1, 1, 1], l=[0, 0, 0, N], c=[1, N, 2, 3]) == [None, 0, 0, None]
+    assert run(spark, ta.aroon(S, "h", "l", 3, skipna=False)[0], h=[1, N, 3, 2, 4], l=[0] * 5) == [None, None, round(200 / 3, 6), 100, None]
     up = run(spark, ta.aroon(S, "h", "l", 3)[0], h=[1, 2, 3, 2, 4], l=[0, 1, 1, 1, 2])
     assert up == [None, None, round(200 / 3, 6), 100, None]
     assert run(spark, ta.obv(S, "x", "v"), x=[1, 2, N, 3, 4], v=[10] * 5) == [0, 10, None, None, 20]
@@ -105,6 +113,8 @@ def test_performance(spark):
     assert run(spark, perf.rollmaxdd(S, "x", 3), x=[100, 90, 95, 80, 120])[2] == 0.1
     got = perf.dduration(frame(spark, x=[N, 100, 90, N, 95, 80]), S, "x").orderBy("pos").collect()
     assert [r["duration"] for r in got][:4] == [-1, 0, 1, -1]
+    assert perf.max_duration(frame(spark, x=[N, 100, 90, N, 95, 120, 80]), S, "x").first()["max_duration"] == 2
+    assert perf.max_duration(frame(spark, x=[N, N]), S, "x").first()["max_duration"] == 0
     assert reduced(spark, perf.omega("x"), x=[1, 2]) == inf
     assert reduced(spark, perf.omega("x"), x=[0, 0]) is None
     assert reduced(spark, perf.sortino("x"), x=[1, -1, 2]) is None
@@ -115,7 +125,7 @@ def test_performance(spark):
 
 @pytest.mark.parametrize("bad", [
     lambda: ta.sma(S, "x", 0), lambda: math.rollmin(S, "x", -1), lambda: ta.hma(S, "x", 1), lambda: ta.ao(S, "x", "x", 5, 5),
-    lambda: stats.quantile("x", 2), lambda: stats.var("x", -1), lambda: stats.winsorize(S, "x", 0.9, 0.1), lambda: stats.percentiles("x", [2]),
+    lambda: stats.quantile("x", 2), lambda: stats.var("x", -1), lambda: stats.winsorize(None, S, "x", 0.9, 0.1), lambda: stats.percentiles("x", [2]),
 ])
 def test_bad_parameters(spark, bad):
     with pytest.raises(ValueError):
