@@ -212,5 +212,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(stay, "\n"))
     n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size("cut")).cast("long")
     added = {"text": text, "n_lines": n_lines, "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
-    kept = from_row(others(docs.columns, list(added)))
-    return cut.select(*kept, *[c.alias(n) for n, c in added.items()])
+    done = cut.select("row", *[c.alias(n) for n, c in added.items()])
+    return done.select(*from_row(others(docs.columns, list(added))), *added)

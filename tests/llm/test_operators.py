@@ -30,6 +30,25 @@ def odd_texts(seed=0, n=60):
     return [*out, *near, out[0], out[0], None, "", "  \n\t", "one", "one two", "A\nb\n\nA\n", "x" * 5000, " ".join(words * 60)]
 
 
+class Elsewhere:
+    """A session on a cluster without a shared folder."""
+
+    class conf:
+        @staticmethod
+        def get(name, default):
+            return default
+
+    class sparkContext:
+        master = "spark://host:7077"
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from seriesmith.llm.common import shared_dir
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Elsewhere)
+
+
 # Sharding
 
 
@@ -53,6 +72,8 @@ def test_sharding_table_and_placement(spark):
     got = sharding.place(df, ["doc_id"], 4, 101).collect()
     assert len(got) == 4 and len({(r["slot"], r["shard"]) for r in got if r["doc_id"] == 1}) == 1 and all(0 <= r["shard"] < 4 for r in got)
     assert sharding.place(df.limit(0), ["doc_id"]).count() == 0
+    clash = sharding.place(df.withColumns({c: F.lit("clash") for c in ("__shard", "row", "__slot")}), ["doc_id"])
+    assert clash.columns == ["doc_id", "text", "__shard", "row", "__slot", "slot", "shard"] and {r["__shard"] for r in clash.collect()} == {"clash"}
     hot = spark.range(1000).select(F.lit("k").alias("key"), "id")
     assert sharding.place(hot, ["key"], 8, spread_by=["id"], spread=64).select("shard").distinct().count() > 4
 
@@ -98,10 +119,10 @@ def test_line_dedup_brute_force(spark, block, monkeypatch):
 
     texts = ["\n".join(edit(edit(rng.choice(base))) if rng.random() < 0.3 else edit(rng.choice(base)) for _ in range(rng.randrange(1, 5))) for _ in range(30)]
     texts += [None, "", "\n\n", "  short \n\tshort\r", "y" * 700, "y" * 350 + "n" + "y" * 349, "x" * 699 + "y"]
-    df = docs(spark, texts).withColumn("id", F.lit("clash")).withColumn("line", F.lit("clash"))
+    df = docs(spark, texts).withColumns({c: F.lit("clash") for c in ("id", "line", "__id", "__tie", "__cut", "__gone", "row", "gone", "cut")})
     got = line_dedup.dedup_lines(df, min_chars=16).orderBy("doc_id").collect()
     assert [(r["text"], r["n_dropped"]) for r in got] == brute_lines(texts, 16)
-    assert got[0]["id"] == "clash" and line_dedup.dedup_lines(df.limit(0)).count() == 0
+    assert {r[c] for r in got for c in ("id", "line", "__id", "gone", "cut", "row")} == {"clash"} and line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
 # Toxicity
@@ -360,7 +381,9 @@ def test_decontamination_brute_force(spark, monkeypatch):
     text = f"before it, {items[0]}; after it"
     cleaned = [r["text"] for r in decontaminate.remove_spans(docs(spark, [text, None, "clean one"]), few).orderBy("doc_id").collect()]
     assert items[0] not in cleaned[0] and cleaned[0].startswith("before it") and cleaned[0].endswith("after it") and cleaned[1:] == [None, "clean one"]
-    assert decontaminate.drop_contaminated(docs(spark, [text, None, "clean one"]), few).count() == 2
+    clash = docs(spark, [text, None, "clean one"]).withColumns({c: F.lit("clash") for c in ("n_hit", "items", "n_words", "bytes", "row", "n")})
+    left = decontaminate.drop_contaminated(clash, few)
+    assert left.columns == clash.columns and left.count() == 2 and {r["items"] for r in left.collect()} == {"clash"}
     assert decontaminate.report(docs(spark, texts), bench.limit(0)).where("n_items > 0").count() == 0
 
 
