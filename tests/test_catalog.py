@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 
-from seriesmith.plans import catalog
+from seriesmith.plans import catalog, long
+
+QUERIES, SQL = catalog.queries() | long.queries(), catalog.oracle_sql() | long.oracle_sql()
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -21,11 +23,11 @@ def ordered(rows):
     return sorted(rows, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
-@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, duck, name):
-    df = catalog.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
-    found = duck.execute(catalog.oracle_sql()[name])
+    found = duck.execute(SQL[name])
     names = [c[0] for c in found.description]
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
@@ -33,9 +35,9 @@ def test_same_as_sql(spark, duck, name):
     assert got == ordered(tuple(r[i] for i in at) for r in found.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    assert catalog.queries()[name](spark, SF).count() > 0
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
