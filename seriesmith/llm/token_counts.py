@@ -10,10 +10,14 @@ when first reached and kept, up to a bound.
 
 White space resets the transducer: no piece holds it after another character. A chunk of
 text therefore has a short state map: what it adds before its first white space depends on
-the state it starts in (kept as ``head``), the rest does not (``count``), and the state it
-ends in is that of its last open unit (``tail``). Maps compose associatively. Long texts are
-cut into chunks that are mapped in parallel tasks and composed level by level, ``FOLD``
-neighbours a task; within a task, units between white space are such maps too and are
+the state it starts in (``head``), the rest does not (``count``), and the state it ends in is
+that of its last open unit (``tail``). Where head or tail is long, its own map is a trial run
+from the start state (``Run``): a run from any other state adds what the trial adds from the
+place on where both are in the same state, which is looked for in the first ``PROBE``
+characters. Maps compose associatively, so long texts are cut into chunks that are mapped in
+parallel tasks and composed level by level, ``FOLD`` neighbours a task, with or without white
+space. A text in which some run never falls in with its trial (such as one letter repeated)
+is counted in one piece. Within a task, units between white space are maps too and are
 remembered.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows stay; an
@@ -24,9 +28,10 @@ dropped.
 from __future__ import annotations
 
 import heapq
+import pickle
 import struct
 from collections.abc import Iterator
-from typing import Any
+from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,6 +45,9 @@ LONG_CHARS = 1 << 20
 CHUNK_CHARS = 1 << 18
 #: Chunk maps that a task of one level of the scan composes.
 FOLD = 64
+#: Characters of a run in which another may fall in with it, and from how many on a stretch is kept as a run.
+PROBE = 256
+LONG_RUN = 1024
 MEMO_UNITS = 500_000
 MAX_STATES = 200_000
 
@@ -133,6 +141,25 @@ class State(dict):
         self.open = entries
 
 
+class Run(NamedTuple):
+    """The state map of a stretch without white space: its first characters, the trial's states and counts after each, its count and last state."""
+
+    text: str
+    states: list[tuple]
+    counts: list[int]
+    total: int
+    end: tuple
+
+
+class Unresolved(Exception):
+    """A run did not fall in with its trial."""
+
+
+#: A text with long stretches without white space as runs; a unit of one.
+Pieces = list[str | Run]
+Unit = str | tuple[str | Run, ...]
+
+
 class Transducer:
     """The compiled tokenizer; grows as texts need it."""
 
@@ -193,7 +220,7 @@ class Transducer:
 
     def run(self, text: str, state: State | None = None) -> tuple[State, int]:
         """The state after text and the tokens it adds."""
-        state, total = state or self.start, 0
+        state, total = self.start if state is None else state, 0  # a state without transitions yet is an empty dict
         for char in text:
             got = state.get(char) or self.step(state, char)
             state, total = got[0], total + got[1]
@@ -214,48 +241,122 @@ class Transducer:
         for unit in units:
             self.units[unit] = self.run(SPACE + unit)[1] if unit else 0
 
-    def count_units(self, parts: list[str]) -> int:
+    def trial(self, text: str) -> Run:
+        state, total, states, counts = self.start, 0, [], []
+        for char in text[:PROBE]:
+            state, more = self.run(char, state)
+            total += more
+            states.append(state.open)
+            counts.append(total)
+        state, more = self.run(text[PROBE:], state)
+        return Run(text[:PROBE], states, counts, total + more, state.open)
+
+    def follow(self, run: Run, state: State) -> tuple[State, int]:
+        """The state after the run's stretch and the tokens it adds, from any state before it."""
+        total = 0
+        for char, known, before in zip(run.text, run.states, run.counts, strict=True):
+            state, more = self.run(char, state)
+            total += more
+            if state.open == known:
+                return self.state(run.end), total + run.total - before
+        raise Unresolved
+
+    def count_pieces(self, unit: tuple[str | Run, ...]) -> int:
+        state, total = self.run(SPACE)
+        for piece in unit:
+            state, more = self.run(piece, state) if isinstance(piece, str) else self.follow(piece, state)
+            total += more
+        return total
+
+    def count_units(self, parts: list[Unit]) -> int:
         """Tokens of parts that each follow one white-space symbol; the last part is closed."""
-        new = list(set(parts).difference(self.units))
+        long = sum(self.count_pieces(p) for p in parts if not isinstance(p, str))
+        plain = [p for p in parts if isinstance(p, str)]
+        new = list(set(plain).difference(self.units))
         if len(new) > MEMO_UNITS // 4:  # more than should be remembered at once
-            return sum(self.run(SPACE + p)[1] for p in parts if p) + self.white_space(parts)
+            return long + sum(self.run(SPACE + p)[1] for p in plain if p) + self.white_space(parts)
         if new:
             self.learn(new)
-            if len(self.units) < len(new) + 1 or not self.units.keys() >= set(parts):
-                self.learn(list(set(parts).difference(self.units)))
-        return sum(map(self.units.__getitem__, parts)) + (self.white_space(parts) if "" in parts else 0)
-
-    def white_space(self, parts: list[str]) -> int:
+            if len(self.units) < len(new) + 1 or not self.units.keys() >= set(plain):
+                self.learn(list(set(plain).difference(self.units)))
+        return long + sum(map(self.units.__getitem__, plain)) + (self.white_space(parts) if "" in plain else 0)
+
+    def leaves_bare(self, part: Unit) -> bool:
+        """Whether a white-space symbol in front stays by itself."""
+        first = part if isinstance(part, str) else part[0] if isinstance(part[0], str) else part[0].text
+        if first[0] not in self.scores:
+            return True
+        if not isinstance(part, str):
+            raise Unresolved  # takes the whole stretch
+        return merge(list(SPACE + part), self.scores)[0] == SPACE
+
+    def white_space(self, parts: list[Unit]) -> int:
         """What runs of white-space symbols add. They merge among themselves last: a word takes its symbol first, if it does."""
         total = empty = 0
         for part in parts:
             if not part:
                 empty += 1
             elif empty:
-                bare = part[0] not in self.scores or merge(list(SPACE + part), self.scores)[0] == SPACE
-                total += self.run_count(empty + 1) - 1 if bare else self.run_count(empty)
+                total += self.run_count(empty + 1) - 1 if self.leaves_bare(part) else self.run_count(empty)
                 empty = 0
         return total + self.run_count(empty)
 
-    def chunk_map(self, chunk: str) -> ChunkMap:
+    def squeezed(self, text: str) -> Pieces:
+        """The text with its long stretches as runs."""
+        out: Pieces = [""]
+        for i, unit in enumerate(text.split(" ")):
+            if i:
+                out.append(" ")
+            out.append(unit if len(unit) < LONG_RUN else self.trial(unit))
+        return self.joined(out)
+
+    def joined(self, pieces: Pieces) -> Pieces:
+        """Neighbouring texts as one, and neighbouring runs as one."""
+        out: Pieces = []
+        for p in pieces:
+            if not out or isinstance(out[-1], str) != isinstance(p, str):
+                out.append(p)
+            elif isinstance(p, str):
+                out[-1] += p
+            else:
+                a = out[-1]
+                state, more = self.follow(p, self.state(a.end))
+                out[-1] = a._replace(total=a.total + more, end=state.open)
+        return [p for p in out if p != ""]
+
+    def units_of(self, pieces: Pieces) -> list[Unit]:
+        """The units between white space."""
+        units: list[Pieces] = [[]]
+        for p in pieces:
+            if isinstance(p, str):
+                first, *rest = p.split(" ")
+                units[-1].append(first)
+                units += [[x] for x in rest]
+            else:
+                units[-1].append(p)
+        return ["".join(u) if all(isinstance(x, str) for x in u) else tuple(x for x in u if x != "") for u in units]
+
+    def chunk_map(self, chunk: str, squeeze: bool = False) -> ChunkMap:
+        """squeeze: long heads and tails as runs, for maps that leave the task."""
+        keep = self.squeezed if squeeze else lambda x: [x]
         parts = chunk.replace(SPACE, " ").split(" ")
         first = next((i for i in range(1, len(parts) - 1) if parts[i]), None)
         if first is None:
-            return ChunkMap(" ".join(parts), None, 0)
+            return ChunkMap(keep(" ".join(parts)), None, 0)
         last = next(i for i in range(len(parts) - 2, 0, -1) if parts[i])
-        return ChunkMap(" ".join(parts[: first + 1]), " ".join(parts[last + 1 :]), self.count_units(parts[first + 1 : last + 1]) if last > first else 0)
+        return ChunkMap(keep(" ".join(parts[: first + 1])), keep(" ".join(parts[last + 1 :])), self.count_units(parts[first + 1 : last + 1]) if last > first else 0)
 
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
         if a.tail is None:
-            return ChunkMap(a.head + b.head, b.tail, b.count)
+            return ChunkMap(self.joined([*a.head, *b.head]), b.tail, b.count)
         if b.tail is None:
-            return ChunkMap(a.head, a.tail + b.head, a.count)
-        return ChunkMap(a.head, b.tail, a.count + self.count_units((a.tail + b.head).split(" ")) + b.count)
+            return ChunkMap(a.head, self.joined([*a.tail, *b.head]), a.count)
+        return ChunkMap(a.head, b.tail, a.count + self.count_units(self.units_of([*a.tail, *b.head])) + b.count)
 
     def total(self, m: ChunkMap) -> int:
         """Tokens of a whole text from the map of white space (the dummy prefix) and the text."""
-        rest = 0 if m.tail is None else m.count + self.count_units(m.tail.split(" "))
-        return self.count_units(m.head.split(" ")[1:]) + rest
+        rest = 0 if m.tail is None else m.count + self.count_units(self.units_of(m.tail))
+        return self.count_units(self.units_of(m.head)[1:]) + rest
 
     def count(self, text: str, chunk: int = CHUNK_CHARS) -> int:
         if not text:
@@ -270,7 +371,7 @@ class Transducer:
         return maps[0]
 
 
-class ChunkMap:
+class ChunkMap(NamedTuple):
     """How a chunk of text acts on the transducer.
 
     head: its text up to the first unit that ends in it, which depends on the state at the
@@ -278,10 +379,9 @@ class ChunkMap:
     ends, without the white-space symbol in front (None: no unit ends, head is everything).
     """
 
-    __slots__ = ("count", "head", "tail")
-
-    def __init__(self, head: str, tail: str | None, count: int):
-        self.head, self.tail, self.count = head, tail, count
+    head: Pieces
+    tail: Pieces | None
+    count: int
 
 
 _COMPILED: dict[int, Transducer] = {}
@@ -315,22 +415,40 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT, long_char
             rest = pa.array([x if y else None for x, y in zip(texts, long, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("n_bytes"), n, rest], names=["row", "doc_id", "n_bytes", "n_tokens", "text"])
 
+    def frame_of(b: pd.DataFrame, maps: list[ChunkMap | None]) -> pd.DataFrame:
+        return pd.DataFrame({"row": b["row"], "chunk": b["chunk"], "map": [None if m is None else pickle.dumps(m) for m in maps]})
+
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = get()
         for b in batches:
-            maps = [t.chunk_map((" " if i == 0 else "") + x) for i, x in zip(b["chunk"], b["text"], strict=True)]
-            yield pd.DataFrame({"row": b["row"], "chunk": b["chunk"], "head": [m.head for m in maps], "tail": [m.tail for m in maps], "count": [m.count for m in maps]})
+            yield frame_of(b, [t.chunk_map((" " if i == 0 else "") + x, True) for i, x in zip(b["chunk"], b["text"], strict=True)])
 
     def fold(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        """Maps of neighbouring chunks as one."""
+        """Maps of neighbouring chunks as one, or none where a run is unresolved."""
         t, pdf = get(), pdf.sort_values("chunk")
-        m = t.scan([map_of(*r) for r in pdf[["head", "tail", "count"]].itertuples(index=False)])
-        return pd.DataFrame({"row": [key[0]], "chunk": [key[1]], "head": [m.head], "tail": [m.tail], "count": [m.count]})
+        m = None
+        if pdf["map"].notna().all():
+            try:
+                m = t.scan([pickle.loads(x) for x in pdf["map"]])  # written by this function's own job
+            except Unresolved:
+                m = None
+        return frame_of(pd.DataFrame({"row": [key[0]], "chunk": [key[1]]}), [m])
 
     def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = get()
         for b in batches:
-            yield pd.DataFrame({"row": b["row"], "total": [t.total(map_of(*r)) for r in b[["head", "tail", "count"]].itertuples(index=False)]})
+            out = []
+            for x in b["map"]:
+                try:
+                    out.append(None if x is None else t.total(pickle.loads(x)))
+                except Unresolved:
+                    out.append(None)
+            yield pd.DataFrame({"row": b["row"], "total": pd.array(out, "Int64")})
+
+    def at_once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = get()
+        for b in batches:
+            yield pd.DataFrame({"row": b["row"], "total": [t.count(x, chunk_chars) for x in b["text"]]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), text_or_empty().alias("text"))
@@ -346,12 +464,10 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT, long_char
         while most > 1:  # level by level, each in tasks for a few chunks
             maps = maps.groupBy("row", F.floor(F.col("chunk") / FOLD).alias("chunk")).applyInPandas(fold, MAP)
             most = -(-most // FOLD)
-        done = done.join(maps.mapInPandas(totals, "row long, total long"), "row", "left").withColumn("n_tokens", F.coalesce("n_tokens", "total"))
+        found = stage(maps.mapInPandas(totals, "row long, total long"), "token-counts-long")
+        rest = long.join(found.where("total IS NULL"), "row", "left_semi").select("row", "text").mapInPandas(at_once, "row long, total long")
+        done = done.join(found.where("total IS NOT NULL").unionByName(rest), "row", "left").withColumn("n_tokens", F.coalesce("n_tokens", "total"))
     return done.select("doc_id", "n_bytes", "n_tokens").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-MAP = "row long, chunk long, head string, tail string, count long"
-
-
-def map_of(head: str, tail: str | None, count: int) -> ChunkMap:
-    return ChunkMap(head, None if tail is None or tail != tail else tail, int(count))
+MAP = "row long, chunk long, map binary"

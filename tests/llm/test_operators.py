@@ -341,6 +341,35 @@ def test_token_counts_equal_the_library(spark, monkeypatch):
     assert token_counts.token_counts(df.limit(0), path).count() == 0
 
 
+def test_token_counts_of_texts_without_spaces(spark, monkeypatch):
+    """Chunks as state maps: trial runs that others fall in with, or not."""
+    import sentencepiece
+
+    path = queries.vocabulary("piece_bpe_32k.model")
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(5)
+    words = ["station", "straße", "niño", "日本語", "tokens", "counting", "a", "xyz", "!!", "42"]
+    glued = lambda n: "".join(rng.choice(words) for _ in range(n))
+    texts = [glued(900), "a" * 9000, f"{glued(400)} {glued(700)}  {glued(3)} x {glued(500)}", f"  {glued(600)}", " ".join(glued(2) for _ in range(900)), "ab" * 4000 + " end"]
+    monkeypatch.setattr(token_counts, "FOLD", 2)
+    got = token_counts.token_counts(docs(spark, texts), path, long_chars=1000, chunk_chars=1500).orderBy("doc_id").collect()
+    assert [r["n_tokens"] for r in got] == [len(own.encode(t)) for t in texts]
+    # The maps themselves, with short runs.
+    monkeypatch.setattr(token_counts, "PROBE", 24)
+    monkeypatch.setattr(token_counts, "LONG_RUN", 30)
+    with open(path, "rb") as f:
+        t = token_counts.Transducer(f.read())
+    resolved = 0
+    for text in [*texts, *(glued(rng.randrange(20, 200)) for _ in range(30))]:
+        maps = [t.chunk_map((" " if i == 0 else "") + text[i : i + 100], True) for i in range(0, len(text), 100)]
+        try:
+            assert t.total(t.scan(maps)) == len(own.encode(text))
+            resolved += 1
+        except token_counts.Unresolved:
+            pass
+    assert resolved > 25
+
+
 # Decontamination
 
 
