@@ -47,7 +47,7 @@ CELL_ROWS = 2_000
 CHUNK_CELLS = 1_000
 #: Output shards: at least so many, and more where one would hold more words than this.
 LEAST_SHARDS = 256
-SHARD_WORDS = 1 << 27
+SHARD_WORDS = 1 << 24
 #: Levels of the tree that the first task of it goes through; subtrees below are tasks of their own.
 TOP_LEVELS = 5
 SPACE = r"\x20\x09-\x0D"
