@@ -640,16 +640,14 @@ def test_quotation_linking_finds_known_parents(spark):
     assert got[0]["rendered"] == f"<|{got[0]['role']}|>\n{got[0]['text']}\n"
 
 
-@pytest.mark.parametrize("bucket", [chat.BUCKET, 2])
-def test_quotation_linking_same_as_sql(spark, bucket, monkeypatch, tmp_path):
+def test_quotation_linking_same_as_sql(spark, monkeypatch, tmp_path):
     """Against an independent statement of the rules, with ties, repeats, nulls and long texts."""
     import duckdb
 
     from seriesmith.llm import common
 
-    monkeypatch.setattr(chat, "BUCKET", bucket)
-    if bucket == 2:
-        monkeypatch.setattr(common, "HOT_ROWS", 1)
+    monkeypatch.setattr(chat, "BUCKET", 2)
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
     rows, _ = quoting_conversations(7, 12)
     rng = random.Random(3)
     rows += [(c, t, rng.choice(["user", None]), x) for c, t, _, x in rng.sample(rows, 20)]  # other messages of the same turn
@@ -733,13 +731,12 @@ def test_jaccard_of_the_smallest_linked_sets(spark, k, percent):
     assert any(c < i and {n, want[c][0]} == {size, size + 1} for i, (n, c) in enumerate(want))
 
 
-@pytest.mark.parametrize("hot", [1_000, 50])
-def test_jaccard_of_a_large_group_of_near_copies(spark, hot, monkeypatch):
-    """600 near copies, some too far from most, beside copies of one text; split into blocks or not."""
+def test_jaccard_of_a_large_group_of_near_copies(spark, monkeypatch):
+    """600 near copies, some too far from most, beside copies of one text; split into blocks."""
     from seriesmith.llm import common
 
     monkeypatch.setattr(common, "HOT_ROWS", 40)
-    rng = random.Random(hot)
+    rng = random.Random(50)
     base = [f"g{i}" for i in range(120)]
     texts = []
     for i in range(600):
@@ -748,7 +745,7 @@ def test_jaccard_of_a_large_group_of_near_copies(spark, hot, monkeypatch):
             w[rng.randrange(len(w))] = f"x{rng.randrange(300)}"
         texts.append(" ".join(w))
     texts += [" ".join(base)] * 100
-    got = jaccard.classes(docs(spark, texts).repartition(6), 3, 90, bundle_rows=20_000 if hot > 50 else 60, hot_rows=hot, block_rows=40).orderBy("doc_id").collect()
+    got = jaccard.classes(docs(spark, texts).repartition(6), 3, 90, bundle_rows=60, hot_rows=50, block_rows=40).orderBy("doc_id").collect()
     assert [(r["n_shingles"], r["component_id"]) for r in got] == brute_components(texts, 3, 90)
 
 
