@@ -652,7 +652,7 @@ def test_quotation_linking_same_as_sql(spark, monkeypatch, tmp_path):
     rng = random.Random(3)
     rows += [(c, t, rng.choice(["user", None]), x) for c, t, _, x in rng.sample(rows, 20)]  # other messages of the same turn
     rows += [(100, t, "user", "> yes\n> no\nmaybe" if t % 3 else "yes\nno") for t in range(40)]
-    rows += [(101, 0, "a", "w " * 20_000 + "\nend"), (101, 1, "b", "> " + "w " * 30 + "\n>> end\n> end"), (101, 1, "b", "> end"), (101, 2, "c", "on x wrote:\n>\n> \n")]
+    rows += [(101, 0, "a", "w " * 2_000 + "\nend"), (101, 1, "b", "> " + "w " * 30 + "\n>> end\n> end"), (101, 1, "b", "> end"), (101, 2, "c", "on x wrote:\n>\n> \n")]
     rows += [(None, 1, "a", "> end"), (101, None, "a", "> end"), (102, 1, None, None), (102, 1, "a", ""), (102, 2, "a", "  > deep\n\t> > deeper\n")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     df.write.parquet(f"file://{tmp_path}/conversations.parquet")
